@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROW = Window.partitionBy("image", "y").orderBy("x")
-COLUMN = Window.partitionBy("image", "x").orderBy("y")
+
+def by_row() -> WindowSpec:
+    return Window.partitionBy("image", "y").orderBy("x")
+
+
+def by_column() -> WindowSpec:
+    return Window.partitionBy("image", "x").orderBy("y")
 
 
 def _mod(c: Column) -> Column:
@@ -17,22 +22,22 @@ def _mod(c: Column) -> Column:
 
 def up_filter(px: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Each byte less the one above, modulo 256; the first row stays."""
-    return px.withColumns({c: _mod(F.col(c) - F.coalesce(F.lag(c).over(COLUMN), F.lit(0))) for c in channels})
+    return px.withColumns({c: _mod(F.col(c) - F.coalesce(F.lag(c).over(by_column()), F.lit(0))) for c in channels})
 
 
 def accumulate(px: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Undoes ``up_filter``."""
-    return px.withColumns({c: _mod(F.sum(c).over(COLUMN.rowsBetween(Window.unboundedPreceding, 0))) for c in channels})
+    return px.withColumns({c: _mod(F.sum(c).over(by_column().rowsBetween(Window.unboundedPreceding, 0))) for c in channels})
 
 
 def slope(px: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Each byte less the one to its left, modulo 256; the first column stays."""
-    return px.withColumns({c: _mod(F.col(c) - F.coalesce(F.lag(c).over(ROW), F.lit(0))) for c in channels})
+    return px.withColumns({c: _mod(F.col(c) - F.coalesce(F.lag(c).over(by_row()), F.lit(0))) for c in channels})
 
 
 def prefix(px: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Undoes ``slope``."""
-    return px.withColumns({c: _mod(F.sum(c).over(ROW.rowsBetween(Window.unboundedPreceding, 0))) for c in channels})
+    return px.withColumns({c: _mod(F.sum(c).over(by_row().rowsBetween(Window.unboundedPreceding, 0))) for c in channels})
 
 
 def green_split(px: DataFrame) -> DataFrame:
@@ -55,7 +60,7 @@ def decode_planes(residuals: DataFrame, channels: Sequence[str] = ("r", "g", "b"
 def filter_choice(px: DataFrame, channels: Sequence[str] = ("r", "g", "b", "a")) -> DataFrame:
     """image, y, plain, sloped, gradient: cost of a row's residuals over all planes, and whether sloping them is strictly cheaper."""
     up = encode_planes(px, channels)
-    tilted = up.withColumns({f"_{c}": _mod(F.col(c) - F.coalesce(F.lag(c).over(ROW), F.lit(0))) for c in channels})
+    tilted = up.withColumns({f"_{c}": _mod(F.col(c) - F.coalesce(F.lag(c).over(by_row()), F.lit(0))) for c in channels})
     cost = lambda c: F.when(F.col(c) > 127, 256 - F.col(c)).otherwise(F.col(c))
     total = lambda names: F.sum(sum((cost(c) for c in names), F.lit(0)))
     rows = tilted.groupBy("image", "y").agg(total(channels).alias("plain"), total([f"_{c}" for c in channels]).alias("sloped"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("image").orderBy("frame")
+
+def by_frame() -> WindowSpec:
+    return Window.partitionBy("image").orderBy("frame")
 
 
 def frame_delay(stated: Column) -> Column:
@@ -19,8 +21,8 @@ def frame_starts(frames: DataFrame) -> DataFrame:
     whole = Window.partitionBy("image")
     found = frames.withColumns(
         {
-            "number": F.row_number().over(ORDER) - 1,
-            "start": F.sum("delay").over(ORDER) - F.col("delay"),
+            "number": F.row_number().over(by_frame()) - 1,
+            "start": F.sum("delay").over(by_frame()) - F.col("delay"),
             "duration": F.sum("delay").over(whole),
             "n": F.count(F.lit(1)).over(whole),
         }
