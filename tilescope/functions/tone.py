@@ -131,7 +131,7 @@ def rolloff_scale(peak: Column, headroom: float = 1.0) -> Column:
 def gain_weight(display: Column, base: Column, alternate: Column) -> Column:
     """How much of a gain map a display with this headroom (log2) gets; signed."""
     w = F.least(F.greatest((display - base) / (alternate - base), F.lit(0.0)), F.lit(1.0))
-    return F.when(alternate == base, 0.0).when(alternate < base, -w).otherwise(w)
+    return F.when(alternate == base, 0.0).when(alternate < base, 0.0 - w).otherwise(w)
 
 
 def gain_factor(slot_1024: Column, low: float, high: float, gamma: float, weight: Column) -> Column:

@@ -13,7 +13,7 @@ GRID = """grid AS (
   LEFT JOIN (SELECT l_orderkey % 61 AS gx, l_partkey % 37 AS gy, max(trunc(l_quantity * 5)::INT) AS v FROM lineitem GROUP BY 1, 2) ON gx = i % 61 AND gy = i // 61)"""
 
 FR = """fr AS (
-  SELECT l_orderkey AS image, l_linenumber AS frame,
+  SELECT l_orderkey AS image, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::INT AS frame,
     CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN NULL ELSE trunc(l_quantity * 2)::INT END AS stated FROM lineitem)"""
 
 CAT = """cat AS (

@@ -10,6 +10,7 @@ from ..sources import config as G
 from ..sources import fixtures as X
 from ..sources import headers as H
 from ..sources import tiles as S
+from .fixtures_sql import FR
 
 #: Byte strings with real magic numbers; the rest of each is zero.
 HEADS = {
@@ -148,8 +149,8 @@ def viewbox(spark, sf):
 
 
 def tile_index(spark, sf):
-    tiles = X.table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") % 100).alias("image"), (F.col("l_linenumber") % 3).alias("level"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("column"), F.col("l_quantity").cast("long").alias("bytes")
+    tiles = X.table(spark, sf, "orders").select(
+        (F.col("o_custkey") % 100).alias("image"), (F.col("o_orderkey") % 3).alias("level"), F.col("o_orderkey").alias("row"), F.lit(0).alias("column"), F.col("o_totalprice").cast("long").alias("bytes")
     )
     return S.tile_index(tiles)
 
@@ -162,10 +163,7 @@ def tile_headers(spark, sf):
 
 def band_starts(spark, sf):
     """Every n-th restart starts a step."""
-    from pyspark.sql import Window
-
-    line = X.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("n"))
-    return line.where("n % 2 = 0").select("l_orderkey", "l_linenumber")
+    return X.frames(spark, sf).where("frame % 2 = 0").select("image", "frame")
 
 
 QUERIES = {
@@ -203,11 +201,11 @@ QUERIES = {
     "viewbox": (
         viewbox,
         """WITH t AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 100 > 0 THEN p_partkey % 3 END::DOUBLE AS l, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 100 > 0 THEN p_partkey % 100 END::DOUBLE AS w FROM part)
-        SELECT p_partkey, l AS "left", w AS width, round((800 - w * least(800 / w, 12)) / 2 - l * least(800 / w, 12), 6) AS "offset" FROM t""",
+        SELECT p_partkey, l AS "left", w AS width, round((800 - w * least(800 / w, 12)) / 2 - l * least(800 / w, 12), 6) + 0 AS "offset" FROM t""",
     ),
     "tile_index": (
         tile_index,
-        """WITH t AS (SELECT l_orderkey % 100 AS image, l_linenumber % 3 AS level, l_orderkey AS "row", l_linenumber AS "column", l_quantity::BIGINT AS bytes FROM lineitem)
+        """WITH t AS (SELECT o_custkey % 100 AS image, o_orderkey % 3 AS level, o_orderkey AS "row", 0 AS "column", trunc(o_totalprice)::BIGINT AS bytes FROM orders)
         SELECT *, coalesce(sum(bytes) OVER (PARTITION BY image ORDER BY level, "row", "column" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM t""",
     ),
     "tile_headers": (
@@ -215,5 +213,5 @@ QUERIES = {
         """SELECT o_orderkey, 6::BIGINT AS version, 1024 AS tile, o_orderkey % 3 + 2 AS channels, o_orderkey % 4 AS levels, o_orderkey % 90 AS table_at, 100 AS size FROM orders
         WHERE o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AND o_orderkey % 4 > 0 AND o_orderkey % 90 + o_orderkey % 4 * 16 <= 100""",
     ),
-    "band_starts": (band_starts, "SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) % 2 = 0"),
+    "band_starts": (band_starts, f"WITH {FR} SELECT image, frame FROM fr WHERE frame % 2 = 0"),
 }

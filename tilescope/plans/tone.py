@@ -184,7 +184,7 @@ QUERIES = {
     "gain_weight": (
         gain_weight,
         """WITH t AS (SELECT event_id, event_id % 9 / 2.0::DOUBLE AS h, event_id % 4 AS b, event_id % 5 AS a FROM events)
-        SELECT event_id, round(CASE WHEN a = b THEN 0 ELSE least(greatest((h - b) / (a - b), 0), 1) * CASE WHEN a < b THEN -1 ELSE 1 END END, 9) AS weight FROM t""",
+        SELECT event_id, round(CASE WHEN a = b THEN 0 WHEN a < b THEN 0 - least(greatest((h - b) / (a - b), 0), 1) ELSE least(greatest((h - b) / (a - b), 0), 1) END, 9) AS weight FROM t""",
     ),
     "gain_apply": (gain_apply, _GAIN),
     "display": (

@@ -47,11 +47,12 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fr(image, frame, stated): an animation for each order, a frame for each line; stated delay in ms, null on every 7th order's first."""
-    line = table(spark, sf_dir, "lineitem")
-    return line.select(
+    """fr(image, frame, stated): an animation for each order, a frame for each line; stated delay in ms, null on every 7th order's first lines."""
+    # line numbers repeat within an order
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("image"),
-        F.col("l_linenumber").alias("frame"),
+        F.row_number().over(order).alias("frame"),
         F.when((F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 1), F.lit(None)).otherwise((F.col("l_quantity") * 2).cast("int")).alias("stated"),
     )
 
