@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cache, catalog, codec, headers, raster, stateful, timeline, tone, views
+from . import cache, catalog, codec, headers, lookups, raster, stateful, timeline, tone, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_AREAS = (raster, codec, views, catalog, timeline, cache, tone, headers, stateful)
+_AREAS = (raster, codec, views, catalog, timeline, cache, tone, headers, lookups, stateful)
 
 
 def queries() -> dict[str, Query]:
