@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, small_batches, whole_groups
+from .common import map_slices, materialize, scratch, small_batches, whole_groups
 from .components import components
 
 COSINE = 0.93
@@ -221,6 +221,11 @@ def verified(passed: DataFrame) -> DataFrame:
 
 def near_vectors(embeddings: DataFrame) -> DataFrame:
     """One row for each row of ``embeddings``: vec_id, n_links, component_id, kept."""
+    with scratch(embeddings.sparkSession):
+        return materialize(_near_vectors(embeddings), "caps-vectors", last=True)
+
+
+def _near_vectors(embeddings: DataFrame) -> DataFrame:
     rows = embeddings.select("vec_id", "embedding", "label")
     links = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = rows.withColumn("usable", links)

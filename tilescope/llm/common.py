@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialised inside is deleted in the end, but for what is said to be ``last``."""
+    root = f"{shared_dir(spark)}/tilescope/scratch-{uuid.uuid4().hex}"
+    token = _scratch.set(root)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, tag: str, last: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
     so that a lost executor costs one stage and not the whole history."""
-    path = f"{shared_dir(df.sparkSession)}/tilescope/{tag}-{uuid.uuid4().hex}"
+    root = _scratch.get()
+    if last or root is None:
+        root = f"{shared_dir(df.sparkSession)}/tilescope"
+    path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

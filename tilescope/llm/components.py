@@ -20,21 +20,24 @@ def _star(both: DataFrame, larger: bool) -> DataFrame:
     found = both.where(side).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not larger:
         found = found.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return found.where("a <> b").distinct()
+    return found.where("a <> b")
+
+
+def _all_stars(pointing: DataFrame) -> bool:
+    """Whether every node either points at one other or is only pointed at: then nothing can change any more."""
+    ends = pointing.select(F.col("a").alias("n"), F.lit(1).alias("out")).union(pointing.select(F.col("b").alias("n"), F.lit(0).alias("out")))
+    mixed = ends.groupBy("n").agg(F.sum("out").alias("out"), F.min("out").alias("least")).where("out > 1 or (out = 1 and least = 0)")
+    return mixed.limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one orderable type.  Returns node, component (its smallest node), for nodes with edges."""
-    pointing = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    pointing = materialize(pointing, "links")
-    before = None
+    pointing = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     while True:
         both = pointing.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pointing.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, larger=True)
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        pointing = materialize(_star(down, larger=False), "links")
-        state = tuple(pointing.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first())
-        if state == before or state[0] == 0:
+        pointing = materialize(_star(down, larger=False).distinct(), "links")
+        if _all_stars(pointing):
             break
-        before = state
-    return pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pointing.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return pointing.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pointing.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
