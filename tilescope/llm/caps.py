@@ -95,9 +95,15 @@ def words_for(vectors: int) -> int:
     return int(min(4096, max(16, np.ceil((vectors * FILTERS / TARGET) ** 0.5))))
 
 
+def number_type(vectors: DataFrame) -> type:
+    """Components travel as they came: float, or double if they are of any wider type."""
+    return np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
+
+
 def passed_filters(classes: DataFrame, words: int) -> DataFrame:
-    """node, label, copies, vector (float64 bytes), width, filters (int32 bytes), filter: a row for each filter passed."""
+    """node, label, copies, vector (bytes of its components), width, filters (int32 bytes), filter: a row for each filter passed."""
     codes: dict[int, Code] = {}
+    number = number_type(classes)
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -123,7 +129,7 @@ def passed_filters(classes: DataFrame, words: int) -> DataFrame:
                     "label": take("label"),
                     "copies": take("copies"),
                     "width": pa.array(widths[at], pa.int32()),
-                    "vector": pa.array([raw[k].astype(np.float32).tobytes() for k in range(len(raw))], pa.binary()).take(pa.array(at)),
+                    "vector": pa.array([raw[k].astype(number).tobytes() for k in range(len(raw))], pa.binary()).take(pa.array(at)),
                     "filters": pa.array([lists[k] for k in range(len(raw))], pa.binary()).take(pa.array(at)),
                     "filter": pa.array(np.concatenate(filters), pa.int64()),
                 }
@@ -170,7 +176,7 @@ def verify_group(low: np.ndarray, high: np.ndarray, same: bool, node: np.ndarray
     return members, links, a if same else np.concatenate([a, b])
 
 
-def verified(passed: DataFrame) -> DataFrame:
+def verified(passed: DataFrame, number: type) -> DataFrame:
     """node, links, least: what each filter, or pair of blocks of one, finds about its members."""
     by_filter = Window.partitionBy("label", "width", "filter")
     # compare within a filter only where it has two members
@@ -202,7 +208,7 @@ def verified(passed: DataFrame) -> DataFrame:
                     at = np.array([k for k in range(s, e) if (label[k], width[k]) == kind])
                     if len(at) < 2:
                         continue
-                    vectors = np.frombuffer(b"".join(raw[k] for k in at), dtype=np.float32).reshape(len(at), -1).astype(np.float64)
+                    vectors = np.frombuffer(b"".join(raw[k] for k in at), dtype=number).reshape(len(at), -1).astype(np.float64)
                     vectors = vectors / np.abs(vectors).max(axis=1)[:, None]
                     filters = [np.frombuffer(lists[k], dtype=np.int32) for k in at]
                     same = bool(low[s] == high[s])
@@ -232,7 +238,7 @@ def _near_vectors(embeddings: DataFrame) -> DataFrame:
     classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "caps-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    found = materialize(verified(passed_filters(classes, words_for(largest))), "caps-links")
+    found = materialize(verified(passed_filters(classes, words_for(largest)), number_type(classes)), "caps-links")
     degrees = found.groupBy("node").agg(F.sum("links").alias("links"))
     hang = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     known = (
