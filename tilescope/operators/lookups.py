@@ -73,3 +73,25 @@ def replaced_display(results: DataFrame, displays: DataFrame) -> DataFrame:
     """Results decoded for the display that is still shown, and those that do not depend on one."""
     now = displays.groupBy("session").agg(F.max_by("display", "seq").alias("now"))
     return results.join(now, "session").where((~F.col("hdr")) | (F.col("display") == F.col("now"))).drop("now")
+
+
+def opaque_images(px: DataFrame) -> DataFrame:
+    """image, opaque: an alpha channel that is zero everywhere is not one."""
+    return px.groupBy("image").agg((F.max("a") == 0).alias("opaque"))
+
+
+def tiff_in_rows(bits: Column, samples: Column, kind: Column, planar: Column, photometric: Column, old_jpeg: Column, plain_alpha: Column) -> Column:
+    """Whether rows of a TIFF can be read alone: 8-bit unsigned, interleaved, grey or RGB, any alpha a plain one."""
+    grey = (photometric == "minisblack") & samples.isin(1, 2)
+    colour = (photometric == "rgb") & samples.isin(3, 4)
+    return (bits == 8) & (kind == "uint") & (planar == "contig") & ~old_jpeg & (grey | colour) & (~samples.isin(2, 4) | plain_alpha)
+
+
+def png_in_rows(depth: Column, palette: Column, keyed: Column, hdr: Column, interlaced: Column) -> Column:
+    """8 bits, or 16 without a palette, not interlaced; an HDR one with neither palette nor colour key."""
+    return ~interlaced & ((depth == 8) | ((depth == 16) & ~palette)) & (~hdr | (~palette & ~keyed))
+
+
+def item_properties(associations: DataFrame, properties: DataFrame) -> DataFrame:
+    """associations: file, item, nth (1-based); properties: file, ordinal (1-based), kind.  Those that exist; a 0 means none."""
+    return associations.where("nth > 0").join(properties.withColumnRenamed("ordinal", "nth"), ["file", "nth"])

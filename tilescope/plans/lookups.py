@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lookups as L
 from ..sources import fixtures as X
+from .fixtures_sql import FR, PX
 
 
 def checkpoint_lookup(spark, sf):
@@ -74,7 +75,40 @@ def tile_lookup_by_level(spark, sf):
     return have.select((F.col("level") + 1).alias("level"), F.shiftright("column", 1).alias("column"), F.shiftright("row", 1).alias("row")).distinct()
 
 
+def opaque_images(spark, sf):
+    px = X.pixels(spark, sf)
+    return L.opaque_images(px.withColumn("a", F.when(F.col("image") % 2 == 0, 0).otherwise(F.col("a"))))
+
+
+def rows_alone(spark, sf):
+    k = F.col("o_orderkey")
+    bit = lambda n: F.shiftright(k, n).bitwiseAND(F.lit(1).cast("long")) == 1
+    pick = lambda by, *some: F.element_at(F.array(*map(F.lit, some)), (by % len(some) + 1).cast("int"))
+    tiff = L.tiff_in_rows(pick(k, 8, 8, 16), (F.shiftright(k, 1) % 4 + 1), pick(k, "uint", "uint", "uint", "float", "uint"), pick(k, *["contig"] * 6, "separate"), pick(F.shiftright(k, 3), "rgb", "minisblack"), k % 11 == 0, bit(4))
+    png = L.png_in_rows(pick(k, 8, 16, 4), bit(1), bit(2), bit(3), bit(5))
+    return X.table(spark, sf, "orders").select("o_orderkey", tiff.alias("tiff"), png.alias("png"))
+
+
+def item_properties(spark, sf):
+    line = X.frames(spark, sf)
+    associations = line.select(F.col("image").alias("file"), F.col("frame").alias("item"), (F.col("frame") % 4).alias("nth"))
+    properties = line.select(F.col("image").alias("file"), F.col("frame").alias("ordinal"), F.when(F.col("stated") % 4 == 0, "colr").otherwise("ispe").alias("kind"))
+    return L.item_properties(associations, properties)
+
+
 QUERIES = {
+    "opaque_images": (opaque_images, f"WITH {PX} SELECT image, image % 2 = 0 OR max(a) = 0 AS opaque FROM px GROUP BY image"),
+    "rows_alone": (
+        rows_alone,
+        """WITH t AS (SELECT o_orderkey AS k, (o_orderkey >> 1) % 4 + 1 AS n, (o_orderkey >> 3) % 2 = 0 AS rgb FROM orders)
+        SELECT k AS o_orderkey, k % 3 < 2 AND k % 5 <> 3 AND k % 7 <> 6 AND k % 11 <> 0 AND CASE WHEN rgb THEN n IN (3, 4) ELSE n IN (1, 2) END AND (n IN (1, 3) OR (k >> 4) & 1 = 1) AS tiff,
+          (k >> 5) & 1 = 0 AND (k % 3 = 0 OR (k % 3 = 1 AND (k >> 1) & 1 = 0)) AND ((k >> 3) & 1 = 0 OR ((k >> 1) & 1 = 0 AND (k >> 2) & 1 = 0)) AS png FROM t""",
+    ),
+    "item_properties": (
+        item_properties,
+        f"""WITH {FR} SELECT a.image AS file, (a.frame % 4) AS nth, a.frame AS item, CASE WHEN p.stated % 4 = 0 THEN 'colr' ELSE 'ispe' END AS kind
+        FROM fr a JOIN fr p ON p.image = a.image AND p.frame = a.frame % 4""",
+    ),
     "checkpoint_lookup": (
         checkpoint_lookup,
         """WITH p AS (SELECT p_size::BIGINT AS k, floor(p_retailprice)::BIGINT AS pos, max(p_partkey) AS v FROM part GROUP BY ALL),
