@@ -61,7 +61,7 @@ def _entries(spark, sf):
 
 
 _ENTRIES = f"""{REQ}, now AS (SELECT session, arg_max(idx, generation) AS cur FROM req GROUP BY session),
-used AS (SELECT session, idx, max(generation) AS used FROM req GROUP BY ALL),
+used AS (SELECT session, idx, max(generation)::BIGINT AS used FROM req GROUP BY ALL),
 entries AS (SELECT session, idx, used, (idx * 1000 + 1)::BIGINT AS bytes, CASE WHEN off = 0 THEN 0 WHEN off <= 6 THEN off WHEN 50 - off <= 2 THEN 56 - off ELSE 1048576 END::INT AS rank
   FROM (SELECT u.*, (u.idx - n.cur + 50) % 50 AS off FROM used u JOIN now n USING (session)))"""
 

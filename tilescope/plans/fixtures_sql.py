@@ -23,7 +23,7 @@ CAT = """cat AS (
       CASE WHEN o_orderkey % 50 = 0 THEN -1 ELSE floor(o_totalprice * 100) END::BIGINT AS length, o_orderdate AS mtime FROM orders))"""
 
 REQ = """req AS (
-  SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS generation, ts,
+  SELECT user_id AS session, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS generation, ts,
     (floor(value * 10)::BIGINT % 50)::INT AS idx, 50 AS count FROM events)"""
 
 CACHEF = """cachef AS (
