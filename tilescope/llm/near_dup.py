@@ -11,9 +11,12 @@
 3. Links are confirmed on full shingle sets, in two steps.  First each key's
    members are paired with its smallest member; what is confirmed is merged into
    components.  Then, of keys whose members still lie in several components, all
-   pairs across components that are near by signature are confirmed too.  A pair
-   inside a component adds nothing, so a key that thousands of near copies share
-   costs thousands of pairs, not millions, and no link between components is lost.
+   pairs across components that are near by signature are compared, each once, in
+   the first key that both have, by their sketches: the ``SKETCH`` smallest hashes of
+   a set, which for a smaller set are all of it.  A sketch rules a pair out if the
+   whole sets cannot be a link or, beyond its size, if five standard deviations do;
+   the rest is confirmed.  A pair inside a component adds nothing, so a key that
+   thousands of near copies share costs thousands of confirmations, not millions.
 
 Hot keys of the second step are cut into blocks and blocks are paired, so a task
 never holds more than ``2 * BLOCK`` members of a key.
@@ -37,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, slices, small_batches, text_of, whole_groups
+from .common import map_slices, materialize, scratch, slices, small_batches, text_of, whole_groups
 from .components import components
 
 SHINGLE = 5
@@ -47,6 +50,8 @@ SYMBOLS, CHUNKS, CHUNK_WRONG = 30, 6, 2
 WIDTH = SYMBOLS // CHUNKS
 MAX_WRONG = CHUNKS * (CHUNK_WRONG + 1) - 1
 BLOCK = 1024
+#: Hashes of a set that the second step compares before whole sets are.
+SKETCH = 256
 #: Memoised hashes of words, a worker.
 MEMO_WORDS = 400_000
 
@@ -194,11 +199,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def pairs_across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Near pairs (a, b) that share a key and lie in different components.
+def sketches(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sketch (the smallest hashes of its set, 32 bits of each) of the nodes asked for."""
+
+    def make():
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = [(shingles(t)[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for t in part.column("text").to_pylist()]
+            return pa.RecordBatch.from_pydict({"node": part.column("node"), "sketch": pa.array(found, pa.binary())})
+
+        return work
+
+    return map_slices(texts.join(nodes, "node", "left_semi").select("node", "text"), make, "node bigint, sketch binary")
+
+
+def _ruled_out(one: np.ndarray, size_one: int, others: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of ``others`` (a row each, filled up beyond ``length``) cannot be a link of ``one``, by their sketches."""
+    top = np.uint64(1 << 32)
+    inside = np.arange(others.shape[1]) < length[:, None]
+    # beyond the last hash of a cut sketch nothing is known
+    end = np.where(size > SKETCH, others[np.arange(len(others)), length - 1].astype(np.uint64), top)
+    if size_one > SKETCH:
+        end = np.minimum(end, np.uint64(one[-1]))
+    inside &= others <= end[:, None]
+    at = np.minimum(np.searchsorted(one, others.ravel()), len(one) - 1)
+    shared = ((one[at] == others.ravel()).reshape(others.shape) & inside).sum(axis=1)
+    united = np.searchsorted(one, end.astype(np.float64), side="right") + inside.sum(axis=1) - shared
+    whole = (size <= SKETCH) & (size_one <= SKETCH)
+    slack = np.where(whole, 0.0, 5 * np.sqrt(PERCENT * (100 - PERCENT) * np.maximum(united, 1)))
+    return 100.0 * shared < PERCENT * united - slack
+
+
+def pairs_across(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a key, lie in different components and are not ruled out.
 
     members: key, node, component, of keys with members in several components.
     """
+    members = materialize(members, "near-mixed")
+    known = materialize(sketches(texts, members.select("node").distinct()), "near-sketches").dropDuplicates(["node"])
     rank = Window.partitionBy("key").orderBy("node")
     blocks = (
         members.withColumn("block", F.expr(f"(row_number() over (partition by key order by node) - 1) div {BLOCK}"))
@@ -206,13 +243,20 @@ def pairs_across(members: DataFrame, classes: DataFrame) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
     )
-    dealt = blocks.join(classes.select("node", "signature", "n_shingles"), "node").select("key", "low", "high", "block", "node", "component", "signature", "n_shingles")
+    about = classes.select("node", "signature", "n_shingles").join(known, "node")
+    dealt = blocks.join(about, "node").select("key", "low", "high", "block", "node", "component", "signature", "n_shingles", "sketch")
 
     def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         """rows: whole (key, low, high) groups, sorted."""
         num = lambda c: rows.column(c).to_numpy()
         sig = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, SYMBOLS)
+        raw = [np.frombuffer(x, dtype=np.uint32) for x in rows.column("sketch").to_pylist()]
+        length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        filled = np.full((len(raw), SKETCH), 0xFFFFFFFF, dtype=np.uint32)
+        filled[np.arange(SKETCH) < length[:, None]] = np.concatenate(raw)
         key, low, high, block, node, comp, size = map(num, ("key", "low", "high", "block", "node", "component", "n_shingles"))
+        keys = keys_of(sig)
+        turn = (keys == key[:, None]).argmax(axis=1)
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         starts = np.flatnonzero(new)
@@ -223,16 +267,19 @@ def pairs_across(members: DataFrame, classes: DataFrame) -> DataFrame:
                 continue
             for i in left.tolist():
                 others = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if low[s] == high[s] else True)]
+                others = others[_near(sig[others], sig[i], size[others], size[i])]
+                # each pair once: in the first key that both have
+                others = others[(keys[others] == keys[i]).argmax(axis=1) == turn[i]]
                 if len(others):
-                    others = others[_near(sig[others], sig[i], size[others], size[i])]
-                    if len(others):
-                        a, b = np.minimum(node[i], node[others]), np.maximum(node[i], node[others])
-                        yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+                    others = others[~_ruled_out(raw[i], int(size[i]), filled[others], length[others], size[others])]
+                if len(others):
+                    a, b = np.minimum(node[i], node[others]), np.maximum(node[i], node[others])
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
     order = ["key", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_groups(batches, order):
+        for rows in whole_groups(batches, order, rows=4096):
             yield from pairs_of(rows)
 
     small_batches(members.sparkSession)
@@ -241,6 +288,11 @@ def pairs_across(members: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    with scratch(docs.sparkSession):
+        return materialize(_near_groups(docs), "near-groups", last=True)
+
+
+def _near_groups(docs: DataFrame) -> DataFrame:
     rows = materialize(signed(docs), "near-signed")
     # a class: one set; its node number is its smallest doc_id, or a negative hash where it has none
     classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -253,16 +305,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
         texts = texts.unionByName(_nameless_texts(nameless))
     texts = texts.withColumn("text", text_of())
     star = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    linked = materialize(confirmed(materialize(near_only(star, classes), "near-stars"), texts), "near-links").distinct()
+    linked = materialize(confirmed(materialize(near_only(star, classes), "near-stars"), texts), "near-links")
     found = materialize(components(linked), "near-components")
     rest = members.where("members > 2").select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     by_key = Window.partitionBy("key")
     rest = rest.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).where("least <> most")
-    across = materialize(pairs_across(rest.select("key", "node", "component"), classes), "near-across")
+    across = materialize(pairs_across(rest.select("key", "node", "component"), classes, texts), "near-across")
     if across.limit(1).count():
         more = materialize(confirmed(across, texts), "near-more")
         if more.limit(1).count():
-            found = materialize(components(linked.union(more)), "near-components")
+            # components so far stand in for the links that made them
+            found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "near-components")
     return _by_row(rows, classes, found)
 
 
