@@ -23,7 +23,6 @@ document (one toxic row is enough) or none.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, text_of
+from .common import map_slices, materialize, scratch, text_of
 
 #: Most documents of either kind that a model is trained on.
 MAX_POSITIVE = 4000
@@ -39,6 +38,9 @@ MAX_UNLABELLED = 8000
 #: Most words that a model looks at, and in how many toxic sample documents each occurs at least.
 MAX_WORDS = 4000
 LEAST_POSITIVE = 3
+LEAST_SIGNAL = 5.0
+#: Weight decay, for one positive document; the more there are the less of it.
+DECAY = 0.02
 THRESHOLD = 0.3
 #: Letters of a word that count as its beginning.
 PREFIX = 4
@@ -66,26 +68,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40)))) if z > -40 else 0.0
 
 
-def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 500, rate: float = 0.05, decay: float = 4e-5) -> Model:
-    """positive, unlabelled: the words of each document."""
-    if not positive or not unlabelled:
-        return Model()
-    in_pos, in_unl = Counter(w for d in positive for w in d), Counter(w for d in unlabelled for w in d)
-    n_pos, n_unl = len(positive), len(unlabelled)
-    least = max(2, min(LEAST_POSITIVE, n_pos // 10))
-    odds = {w: np.log((n + 0.5) / (n_pos + 1)) - np.log((in_unl[w] + 0.5) / (n_unl + 1)) for w, n in in_pos.items() if n >= least}
-    chosen = sorted(odds, key=lambda w: (-odds[w] * np.sqrt(in_pos[w]), w))[:MAX_WORDS]
-    chosen = [w for w in chosen if odds[w] > 0.5]
-    number = {w: k for k, w in enumerate(chosen)}
-    row, col = [], []
-    for k, d in enumerate([*positive, *unlabelled]):
-        at = [number[w] for w in d & number.keys()]
-        row += [k] * len(at)
-        col += at
-    row, col = np.array(row, dtype=np.int64), np.array(col, dtype=np.int64)
-    is_pos = np.arange(n_pos + n_unl) < n_pos
-    weight, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+def train(found: list[np.ndarray], is_pos: np.ndarray, words: list[str], prior: float, steps: int = 500, rate: float = 0.05) -> Model:
+    """found: for each sample document which of ``words`` it has, by number; is_pos: whether it is confirmed toxic."""
+    n_pos, n_unl = int(is_pos.sum()), int((~is_pos).sum())
+    col = np.concatenate([*found, np.empty(0, dtype=np.int64)]).astype(np.int64)
+    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    decay = max(DECAY / n_pos, 1e-5)
+    weight, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for step in range(1, steps + 1):
         z = bias + np.bincount(row, weights=weight[col], minlength=len(is_pos))
         s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -95,40 +85,70 @@ def train(positive: list[set[str]], unlabelled: list[set[str]], prior: float, st
         first = np.where(is_pos, prior * (s - 1) / n_pos, 0)
         second = np.where(is_pos, -prior * s / n_pos, s / n_unl)
         dz = first + second if rest >= 0 else -second
-        grad = np.append(np.bincount(col, weights=dz[row], minlength=len(chosen)) + decay * weight, dz.sum())
+        grad = np.append(np.bincount(col, weights=dz[row], minlength=len(words)) + decay * weight, dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weight, bias = weight - move[:-1], bias - move[-1]
-    return Model({w: float(x) for w, x in zip(chosen, weight, strict=True) if abs(x) > 1e-3}, float(bias))
+    # a text without known words is at most as suspect as any
+    bias = min(bias, float(np.log(prior / (1 - prior))))
+    return Model({w: float(x) for w, x in zip(words, weight, strict=True) if abs(x) > 1e-3}, bias)
 
 
-def sample_words(docs: DataFrame, ids: DataFrame) -> list[set[str]]:
-    """Word sets of the documents in ``ids``, of which there are a bounded number; equal texts once."""
+def sample_words(docs: DataFrame, ids: DataFrame, toxic: bool) -> DataFrame:
+    """toxic, words of the documents in ``ids``, of which there are a bounded number; equal texts once."""
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"words": pa.array([sorted(words_of(t or "")) for t in part.column("text").to_pylist()], pa.list_(pa.string()))})
+            words = pa.array([sorted(words_of(t or "")) for t in part.column("text").to_pylist()], pa.list_(pa.string()))
+            return pa.RecordBatch.from_pydict({"toxic": pa.array([toxic] * part.num_rows, pa.bool_()), "words": words})
 
         return work
 
     texts = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(text_of().alias("text")).distinct()
-    return [set(r[0]) for r in map_slices(texts, make, "words array<string>").collect()]
+    return map_slices(texts, make, "toxic boolean, words array<string>")
+
+
+def telling_words(sample: DataFrame, n_pos: int, n_unl: int) -> list[str]:
+    """Words that are by ``LEAST_SIGNAL`` standard errors more frequent in toxic documents than in all text."""
+    least = max(2, min(LEAST_POSITIVE, n_pos // 10))
+    words = sample.select("toxic", F.explode("words").alias("word"))
+    counted = words.groupBy("word").agg(F.count_if("toxic").alias("n"), F.count_if(~F.col("toxic")).alias("u")).where(F.col("n") >= least)
+    share = (F.col("u") + 0.5) / (n_unl + 1)
+    signal = (F.col("n") / n_pos - share) / F.sqrt(share * (1 - share) / n_pos)
+    chosen = counted.withColumn("signal", signal).where(F.col("signal") >= LEAST_SIGNAL).orderBy(F.desc("signal"), "word").limit(MAX_WORDS)
+    return [r["word"] for r in chosen.collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    docs = docs.select("doc_id", "text")
+    """The driver gets the chosen words and, of each sample document, the numbers of those it has."""
+    with scratch(docs.sparkSession):
+        return _fit(docs.select("doc_id", "text"), labels, max_positive, max_unlabelled)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> Model:
     labels = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold() != 2))
     marked = materialize(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "toxic-labels")
     prior = marked.agg(F.avg("toxic")).first()[0] or 0.0
     by_hash = lambda df, n: materialize(df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n), "toxic-sample")
-    toxic = marked.where("toxic = 1")
-    positive = by_hash(toxic.join(docs.select("doc_id"), "doc_id", "left_semi"), max_positive)
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (fold() != 2)).join(toxic, "doc_id", "left_anti")
-    unlabelled = by_hash(others, max_unlabelled)
-    # the unlabelled sample gets back its share of confirmed toxic documents: it stands for all text
-    found, rest = sample_words(docs, positive), sample_words(docs, unlabelled)
-    share = min(len(found), round(len(rest) * prior / max(1e-9, 1 - prior)))
-    return train(found, rest + found[:share], min(max(prior, 1e-4), 0.9)) if found else Model()
+    positive = by_hash(marked.where("toxic = 1").join(docs.select("doc_id"), "doc_id", "left_semi"), max_positive)
+    # the unlabelled sample stands for all text, so it is drawn without a look at labels
+    unlabelled = by_hash(docs.select("doc_id").where(F.col("doc_id").isNotNull() & (fold() != 2)), max_unlabelled)
+    sample = materialize(sample_words(docs, positive, True).union(sample_words(docs, unlabelled, False)), "toxic-words")
+    n_pos, n_unl = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    if not n_pos or not n_unl:
+        return Model()
+    words = telling_words(sample, n_pos, n_unl)
+    number = {w: k for k, w in enumerate(words)}
+
+    def make():
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = [sorted(number[w] for w in some if w in number) for some in part.column("words").to_pylist()]
+            return pa.RecordBatch.from_pydict({"toxic": part.column("toxic"), "found": pa.array(found, pa.list_(pa.int32()))})
+
+        return work
+
+    rows = map_slices(sample, make, "toxic boolean, found array<int>").orderBy(F.desc("toxic"), "found").collect()
+    return train([np.array(r["found"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=bool), words, min(max(prior, 1e-4), 0.9))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
