@@ -261,12 +261,16 @@ def pairs_across(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
         new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         starts = np.flatnonzero(new)
         for s, e in zip(starts, np.append(starts[1:], len(key)), strict=True):
-            left = np.flatnonzero(block[s:e] == low[s]) + s
-            right = left if low[s] == high[s] else np.flatnonzero(block[s:e] == high[s]) + s
-            if len(right) < 2 and low[s] == high[s]:
+            here = np.arange(s, e)
+            kinds, sizes = np.unique(comp[s:e], return_counts=True)
+            if len(kinds) < 2:
                 continue
-            for i in left.tolist():
-                others = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if low[s] == high[s] else True)]
+            # the members of the most frequent component meet only those outside it
+            most = kinds[sizes.argmax()]
+            for i in here[comp[s:e] != most].tolist():
+                others = here[(comp[s:e] != comp[i]) & ((comp[s:e] == most) | (node[s:e] > node[i]))]
+                if low[s] != high[s]:
+                    others = others[block[others] != block[i]]
                 others = others[_near(sig[others], sig[i], size[others], size[i])]
                 # each pair once: in the first key that both have
                 others = others[(keys[others] == keys[i]).argmax(axis=1) == turn[i]]
