@@ -176,8 +176,11 @@ def near_only(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_slices(joined, make, "a bigint, b bigint", rows=1000)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets make a link.  texts: node, text."""
+def confirmed(pairs: DataFrame, texts: DataFrame, many: bool) -> DataFrame:
+    """Of pairs (a, b) those whose full shingle sets make a link.  texts: node, text.
+
+    many: whether pairs grow with the documents, so that texts are dealt by node at every size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -191,10 +194,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= PERCENT * (len(last_set) + len(other) - shared))
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    some = materialize(texts.join(needed, "node", "left_semi"), "near-texts")
-    side = lambda n: some.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
+    dealt = texts.hint("merge") if many else texts
+    side = lambda n: dealt.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
+    joined = side("b").join(pairs, "b").join(side("a"), "a").sortWithinPartitions("a").select("a", "b", "text_a", "text_b")
     small_batches(pairs.sparkSession)
     return joined.mapInArrow(run, "a bigint, b bigint")
 
@@ -209,7 +211,7 @@ def sketches(texts: DataFrame, nodes: DataFrame) -> DataFrame:
 
         return work
 
-    return map_slices(texts.join(nodes, "node", "left_semi").select("node", "text"), make, "node bigint, sketch binary")
+    return map_slices(texts.join(nodes.hint("merge"), "node", "left_semi").select("node", "text"), make, "node bigint, sketch binary")
 
 
 def _ruled_out(one: np.ndarray, size_one: int, others: np.ndarray, length: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -308,15 +310,17 @@ def _near_groups(docs: DataFrame) -> DataFrame:
         nameless = docs.where("doc_id is null").select("text")
         texts = texts.unionByName(_nameless_texts(nameless))
     texts = texts.withColumn("text", text_of())
+    # of whole texts only those are looked at again that share a key; they are dealt by node at every size
+    texts = materialize(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "near-texts")
     star = members.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    linked = materialize(confirmed(materialize(near_only(star, classes), "near-stars"), texts), "near-links")
+    linked = materialize(confirmed(materialize(near_only(star, classes), "near-stars"), texts, many=True), "near-links")
     found = materialize(components(linked), "near-components")
     rest = members.where("members > 2").select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     by_key = Window.partitionBy("key")
     rest = rest.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).where("least <> most")
     across = materialize(pairs_across(rest.select("key", "node", "component"), classes, texts), "near-across")
     if across.limit(1).count():
-        more = materialize(confirmed(across, texts), "near-more")
+        more = materialize(confirmed(across, texts, many=False), "near-more")
         if more.limit(1).count():
             # components so far stand in for the links that made them
             found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "near-components")
@@ -353,4 +357,4 @@ def _by_row(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that another of their component stands for; all columns as they were."""
     dropped = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_ts_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_ts_id"]), "left_anti")
+    return docs.join(dropped.hint("merge"), docs["doc_id"].eqNullSafe(dropped["_ts_id"]), "left_anti")
