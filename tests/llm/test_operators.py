@@ -202,6 +202,27 @@ def test_filters_recall_at_the_threshold():
     assert np.mean([bool(p & q) for p, q in zip(*passed, strict=True)]) >= 0.97
 
 
+def recall_of(code, cosine, n=1500, width=64, seed=3):
+    found = []
+    for side in caps.pairs_at(cosine, n, width, np.random.default_rng(seed)):
+        rows, filters = zip(*(code.decode(side[s : s + 250]) for s in range(0, n, 250)), strict=True)
+        found.append(np.concatenate([250 * k + r for k, r in enumerate(rows)]) * (1 << 32) + np.concatenate(filters))
+    return len(np.unique(np.intersect1d(*found) >> 32)) / n
+
+
+@pytest.mark.parametrize("words", [16, 32, 64, 128, 256, 512, 1024, 2048, 4096])
+def test_recall_does_not_fall_with_the_code(words):
+    code = caps.Code(64, words)
+    assert recall_of(code, 0.93) >= 0.995 and recall_of(code, 0.95) >= 0.997
+
+
+def test_a_hot_label_does_not_set_the_code_of_others(spark):
+    counts = [0, 1, 100, 3_000, 50_000, 10**6, 10**8]
+    sizes = spark.createDataFrame([(n,) for n in counts], "n bigint")
+    got = [r.w for r in sizes.select("n", caps.words_column(sizes.n, counts[-1]).alias("w")).orderBy("n").collect()]
+    assert got == [caps.words_for(n) for n in counts] and got[0] == got[2] == 16 < got[4] < got[5] < got[6]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return queries.tokenizer()

@@ -10,9 +10,12 @@ vector passes all filters over the threshold and at least its ``LEAST_FILTERS``
 best.  Rows are joined on (label, filter), and every pair is verified by cosine in
 double precision, once: in the smallest filter that both pass.
 
-The code grows with the number of vectors of a label, so a filter holds about
-``TARGET`` unrelated vectors at any size.  Recall at a cosine of exactly 0.93 is
-about 0.99, and higher above.  Equal vectors are collapsed beforehand.  Members of
+The code of a label grows with the number of its vectors, so a filter holds at most
+about ``TARGET`` unrelated vectors, up to 4,096 words a block and more beyond.  A
+larger code needs more filters a vector for the same recall: its threshold is the
+one that random pairs at a cosine of exactly 0.93 reach with a common filter in
+``RECALL`` of the cases, by simulation, or the one that ``FILTERS`` filters pass if
+that is lower.  Recall is higher above 0.93.  Equal vectors are collapsed beforehand.  Members of
 a filter are compared in blocks, as matrix products; no pairs are emitted, only
 counts of links and, for each member, the smallest member it hangs together with.
 
@@ -26,6 +29,7 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from statistics import NormalDist
 
 import numpy as np
@@ -38,6 +42,12 @@ from .components import components
 
 COSINE = 0.93
 FILTERS, LEAST_FILTERS = 20, 8
+RECALL = 0.999
+#: Random pairs that a threshold is simulated with, and the code words a block looked at for each.
+SIMULATED, LOOKED_AT = 4000, 64
+LEAST_WORDS, MOST_WORDS = 16, 4096
+#: Width for which the filters a vector passes are estimated when a label's code is sized.
+SIZED_FOR = 64
 TARGET = 256
 BLOCK = 1024
 SEED = 93
@@ -59,6 +69,15 @@ def structured_code(width: int, words: int, rng: np.random.Generator) -> np.ndar
     return np.vstack(parts)[:words]
 
 
+def pairs_at(cosine: float, n: int, width: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` pairs of random unit vectors at this cosine."""
+    a, z = rng.standard_normal((2, n, width))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    z -= (z * a).sum(axis=1)[:, None] * a
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    return a, cosine * a + (1 - cosine**2) ** 0.5 * z
+
+
 class Code:
     def __init__(self, width: int, words: int):
         rng = np.random.default_rng([SEED, width, words])
@@ -67,6 +86,34 @@ class Code:
         self.blocks = [structured_code(n, words, rng) for n in (self.cut, width - self.cut) if n]
         tail = min(0.5, FILTERS / words ** len(self.blocks))
         self.threshold = NormalDist().inv_cdf(1 - tail) * (len(self.blocks) / width) ** 0.5
+        if width > 1:
+            self.threshold = min(self.threshold, self.simulated(width, rng))
+
+    def least(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Score of each vector's last of its ``LEAST_FILTERS`` best filters, from its best scores in each block."""
+        best = (first[:, :, None] + second[:, None, :]).reshape(len(first), -1)
+        k = min(LEAST_FILTERS, best.shape[1])
+        return np.partition(best, -k, axis=1)[:, -k]
+
+    def simulated(self, width: int, rng: np.random.Generator) -> float:
+        """Threshold at which ``RECALL`` of random pairs at a cosine of ``COSINE`` pass a common filter."""
+        top = lambda x: -np.partition(-x, LEAST_FILTERS - 1, axis=1)[:, :LEAST_FILTERS]
+        a, b = pairs_at(COSINE, SIMULATED, width, rng)
+        reached = []
+        for s in range(0, SIMULATED, 100):
+            (x, y), (u, v) = [
+                (a[s : s + 100, cols] @ code.T, b[s : s + 100, cols] @ code.T)
+                for code, cols in zip(self.blocks, (slice(None, self.cut), slice(self.cut, None)), strict=True)
+            ]
+            least = self.least(top(x), top(u)), self.least(top(y), top(v))
+            # a common filter of high scores has a high sum; leaving words out can only lower the threshold
+            one, two = np.argsort(-(x + y), axis=1)[:, :LOOKED_AT], np.argsort(-(u + v), axis=1)[:, :LOOKED_AT]
+            x, y, u, v = (np.take_along_axis(z, at, 1) for z, at in ((x, one), (y, one), (u, two), (v, two)))
+            of_a, of_b = ((p[:, :, None] + q[:, None, :]).reshape(len(p), -1) for p, q in ((x, u), (y, v)))
+            # filters that both pass as their best need no threshold
+            free = ((of_a >= least[0][:, None]) & (of_b >= least[1][:, None])).any(axis=1)
+            reached.append(np.where(free, np.inf, np.minimum(of_a, of_b).max(axis=1)))
+        return float(np.sort(np.concatenate(reached))[int((1 - RECALL) * SIMULATED)])
 
     def decode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and filters of all exceeding filter directions of unit vectors, by row and filter."""
@@ -74,9 +121,7 @@ class Code:
         second = vectors[:, self.cut :] @ self.blocks[1].T if len(self.blocks) > 1 else np.zeros((len(vectors), 1))
         by_first, by_second = np.argsort(-first, axis=1), np.argsort(-second, axis=1)
         first, second = np.take_along_axis(first, by_first, 1), np.take_along_axis(second, by_second, 1)
-        best = (first[:, :LEAST_FILTERS, None] + second[:, None, :LEAST_FILTERS]).reshape(len(vectors), -1)
-        k = min(LEAST_FILTERS, best.shape[1])
-        least = np.minimum(self.threshold, np.partition(best, -k, axis=1)[:, -k])
+        least = np.minimum(self.threshold, self.least(first[:, :LEAST_FILTERS], second[:, :LEAST_FILTERS]))
         rows, filters = [], []
         for rank in range(first.shape[1]):
             going = np.flatnonzero(first[:, rank] + second[:, 0] >= least)
@@ -90,9 +135,33 @@ class Code:
         return rows[order], filters[order]
 
 
+@cache
+def code_for(width: int, words: int) -> Code:
+    return Code(width, words)
+
+
+@cache
+def filters_of(words: int) -> float:
+    """Filters that a random vector passes, in the mean."""
+    x = np.random.default_rng([SEED, words]).standard_normal((500, SIZED_FOR))
+    return len(code_for(SIZED_FOR, words).decode(x / np.linalg.norm(x, axis=1)[:, None])[0]) / len(x)
+
+
 def words_for(vectors: int) -> int:
-    """Code words a block, from how many vectors the largest label has."""
-    return int(min(4096, max(16, np.ceil((vectors * FILTERS / TARGET) ** 0.5))))
+    """Code words a block, a power of two, from how many vectors the label has."""
+    words = LEAST_WORDS
+    while words < MOST_WORDS and vectors * filters_of(words) > TARGET * words**2:
+        words *= 2
+    return words
+
+
+def words_column(vectors: Column, largest: int) -> Column:
+    """``words_for`` as a column, for labels of up to ``largest`` vectors."""
+    out, words = F.lit(LEAST_WORDS), LEAST_WORDS
+    while words < words_for(largest):
+        out = F.when(vectors * F.lit(filters_of(words)) > TARGET * words**2, F.lit(2 * words)).otherwise(out)
+        words *= 2
+    return out
 
 
 def number_type(vectors: DataFrame) -> type:
@@ -100,19 +169,21 @@ def number_type(vectors: DataFrame) -> type:
     return np.float32 if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else np.float64
 
 
-def passed_filters(classes: DataFrame, words: int) -> DataFrame:
-    """node, label, copies, vector (bytes of its components), width, filters (int32 bytes), filter: a row for each filter passed."""
-    codes: dict[int, Code] = {}
+def passed_filters(classes: DataFrame) -> DataFrame:
+    """classes: node, label, copies, embedding, words (of the label's code).
+
+    node, label, copies, vector (bytes of its components), width, filters (int32 bytes), filter: a row for each filter passed.
+    """
     number = number_type(classes)
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             raw = [np.array(v, dtype=np.float64) for v in part.column("embedding").to_pylist()]
-            widths = np.array([len(v) for v in raw])
+            widths, words = np.array([len(v) for v in raw]), part.column("words").to_numpy()
             at, filters, lists = [], [], {}
-            for width in np.unique(widths).tolist():
-                code = codes.setdefault(width, Code(width, words))
-                some = np.flatnonzero(widths == width)
+            for width, size in np.unique(np.stack([widths, words], axis=1), axis=0).tolist():
+                code = code_for(width, size)
+                some = np.flatnonzero((widths == width) & (words == size))
                 matrix = np.vstack([raw[k] for k in some])
                 matrix /= np.abs(matrix).max(axis=1)[:, None]
                 matrix /= np.linalg.norm(matrix, axis=1)[:, None]
@@ -138,7 +209,7 @@ def passed_filters(classes: DataFrame, words: int) -> DataFrame:
         return work
 
     schema = "node bigint, label string, copies bigint, width int, vector binary, filters binary, filter bigint"
-    return map_slices(classes.select("node", F.col("label").cast("string").alias("label"), "copies", "embedding"), make, schema)
+    return map_slices(classes.select("node", F.col("label").cast("string").alias("label"), "copies", "embedding", "words"), make, schema)
 
 
 def verify_group(low: np.ndarray, high: np.ndarray, same: bool, node: np.ndarray, copies: np.ndarray, vectors: np.ndarray, norms: np.ndarray, filters: list[np.ndarray], here: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,8 +308,12 @@ def _near_vectors(embeddings: DataFrame) -> DataFrame:
     rows = rows.withColumn("usable", links)
     classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "caps-classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    found = materialize(verified(passed_filters(classes, words_for(largest)), number_type(classes)), "caps-links")
+    sizes = materialize(classes.groupBy("label").count(), "caps-sizes")
+    largest = sizes.agg(F.max("count")).first()[0] or 1
+    # a label's own size decides, so only the few labels that need more than the least code are looked up
+    sized = sizes.select("label", words_column(F.col("count"), largest).alias("words")).where(f"words > {LEAST_WORDS}")
+    coded = classes.join(sized, "label", "left").fillna(LEAST_WORDS, ["words"])
+    found = materialize(verified(passed_filters(coded), number_type(classes)), "caps-links")
     degrees = found.groupBy("node").agg(F.sum("links").alias("links"))
     hang = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
     known = (
