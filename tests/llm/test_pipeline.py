@@ -8,7 +8,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from tilescope.llm import queries, toxicity
+from tilescope.llm import near_dup, queries, toxicity
 
 from .test_operators import jaccard_links, union_find
 
@@ -67,3 +67,27 @@ def test_tokens_decode_to_the_text(steps):
 
 def test_run_gives_the_last_stage(spark, sf, steps):
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").collect()) == sorted(r.doc_id for r in steps[5])
+
+
+def test_rows_without_an_identifier_are_decided_one_by_one(spark):
+    def text(word, last=""):
+        return " ".join(f"{word}{k}" for k in range(60)) + last
+
+    rows = [
+        (1, text("a"), "named"),
+        (2, text("a", " more"), "copy of a named one"),
+        (3, text("b"), "named"),
+        (None, text("a", " other"), "copy of a named one"),
+        (None, text("c"), "clean"),
+        (None, text("d"), "clean"),
+        (None, text("e"), "only each other"),
+        (None, text("e", " more"), "only each other"),
+        (None, text("e", " more"), "only each other"),
+        (None, "", "no words"),
+        (None, None, "no words"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string").repartition(3)
+    out = near_dup.drop_near(docs)
+    got = [tuple(r) for r in out.collect()]
+    assert out.schema == docs.schema and set(got) <= set(rows)
+    assert sorted(k for _, _, k in got) == ["clean", "clean", "named", "named", "no words", "no words", "only each other"]

@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import map_slices, materialize, scratch, slices, small_batches, text_of, whole_groups
 from .components import components
@@ -295,10 +296,11 @@ def pairs_across(members: DataFrame, classes: DataFrame, texts: DataFrame) -> Da
 def near_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept."""
     with scratch(docs.sparkSession):
-        return materialize(_near_groups(docs), "near-groups", last=True)
+        return materialize(_near_groups(docs).select("doc_id", "n_shingles", "component_id", "kept"), "near-groups", last=True)
 
 
 def _near_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, set_hash, leads (whether its set is its component's smallest node)."""
     rows = materialize(signed(docs), "near-signed")
     # a class: one set; its node number is its smallest doc_id, or a negative hash where it has none
     classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
@@ -327,19 +329,23 @@ def _near_groups(docs: DataFrame) -> DataFrame:
     return _by_row(rows, classes, found)
 
 
-def _nameless_texts(nameless: DataFrame) -> DataFrame:
-    """node, text of rows without doc_id; nodes that a named document stands for are never asked for."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _ts_hash in front, null for an empty set."""
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            texts = part.column("text").to_pylist()
-            hashes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x := shingles(t)) else None for t in texts]
-            return pa.RecordBatch.from_pydict({"set_hash": pa.array(hashes, pa.binary()), "text": pa.array(texts, pa.string())})
+            hashes = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x := shingles(t)) else None for t in part.column("text").to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), *part.columns], ["_ts_hash", *part.schema.names])
 
         return work
 
-    hashed = map_slices(nameless, make, "set_hash binary, text string").where("set_hash is not null").dropDuplicates(["set_hash"])
-    return hashed.select((-F.abs(F.xxhash64("set_hash")) - 1).alias("node"), "text")
+    return map_slices(docs, make, StructType([StructField("_ts_hash", BinaryType()), *docs.schema.fields]))
+
+
+def _nameless_texts(nameless: DataFrame) -> DataFrame:
+    """node, text of rows without doc_id; nodes that a named document stands for are never asked for."""
+    hashed = _hashed(nameless.select(F.col("text").cast("string").alias("text"))).where("_ts_hash is not null").dropDuplicates(["_ts_hash"])
+    return hashed.select((-F.abs(F.xxhash64("_ts_hash")) - 1).alias("node"), "text")
 
 
 def _by_row(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -347,14 +353,34 @@ def _by_row(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     named = classes.select("set_hash", "node", "least").join(found.withColumnRenamed("component", "of"), "node", "left")
     # a component's name is its smallest identifier; nodes without one are below zero and count last
     ids = named.groupBy(F.coalesce("of", "node").alias("of")).agg(F.min("least").alias("component_id"))
-    named = named.select("set_hash", F.coalesce("of", "node").alias("of")).join(ids, "of").select("set_hash", "component_id")
+    named = named.select("set_hash", "node", F.coalesce("of", "node").alias("of")).join(ids, "of").select("set_hash", "component_id", F.expr("node = of").alias("leads"))
     many = named.withColumnRenamed("set_hash", "_hash")
     joined = rows.join(many, rows["set_hash"] == many["_hash"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).cast(kind)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "set_hash", "leads").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that another of their component stands for; all columns as they were."""
-    dropped = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_ts_id")).distinct()
-    return docs.join(dropped.hint("merge"), docs["doc_id"].eqNullSafe(dropped["_ts_id"]), "left_anti")
+    """``docs`` without the rows that another of their component stands for; all columns as they were.
+
+    A row without ``doc_id`` is decided by its set: it goes where a named document
+    stands for its component; of a component without any, one row stays.  Rows
+    without words stay.
+    """
+    with scratch(docs.sparkSession):
+        groups = materialize(_near_groups(docs).select("doc_id", "component_id", "set_hash", "leads", "kept"), "near-rows", last=True)
+    dropped = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_ts_id")).distinct()
+    named = docs.where("doc_id is not null").join(dropped.hint("merge"), docs["doc_id"] == dropped["_ts_id"], "left_anti")
+    if not docs.where("doc_id is null").limit(1).count():
+        return named
+    return named.unionByName(_nameless_left(docs.where("doc_id is null"), groups))
+
+
+def _nameless_left(nameless: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of rows without doc_id those that stay; groups: doc_id, component_id, set_hash, leads."""
+    row = F.struct(*[F.col(f"`{c}`") for c in nameless.columns])
+    hashed = _hashed(nameless).select("_ts_hash", "text", row.alias("row"))
+    leading = groups.where("doc_id is null and component_id is null and leads").select(F.col("set_hash").alias("_ts_hash")).distinct()
+    # of equal sets the row of the smallest text, and then of the smallest other columns
+    alone = hashed.join(leading, "_ts_hash", "left_semi").groupBy("_ts_hash").agg(F.min_by("row", F.struct(text_of().alias("text"), F.to_json("row").alias("all"))).alias("row"))
+    return hashed.where("_ts_hash is null").select("row.*").unionByName(alone.select("row.*"))
