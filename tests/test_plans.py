@@ -86,3 +86,20 @@ def test_written_pyramid_equals_the_planned_one(spark, sf, tmp_path):
     assert rows(read) == rows(R.pyramid(px, 3).toPandas())
     some = tiles.read_tiles(spark, str(tmp_path / "p"), 0, (0, 1), (0, 0))
     assert some.count() == px.where("x < 32 and y < 16").count()
+
+
+def test_sizes_at_ties_round_as_c_does(spark, sf):
+    from pyspark.sql import functions as F
+
+    from tilescope.functions import text as T
+
+    def c_size(n):
+        if n < 1000:
+            return f"{n} B"
+        return f"{n / 1e3:.0f} kB" if n < 999_500 else f"{n / 1e6:.1f} MB" if n < 999_950_000 else f"{n / 1e9:.1f} GB"
+
+    sizes = [0, 1, 999, 1000, *range(1500, 1_000_000, 1000), 999_499, 999_500, *range(1_050_000, 1_000_000_000, 100_000), 999_949_999, 999_950_000]
+    sizes += [k * 50_000_000 for k in range(20, 4000)] + [10**15 + 50_000_000, 2**62]
+    got = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", T.human_size(F.col("n")).alias("shown")).collect()
+    assert {r.n: r.shown for r in got} == {n: c_size(n) for n in sizes}
+    assert plans.queries()["human_size_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()

@@ -71,17 +71,31 @@ def wrap_index(spark, sf):
     return events.select("event_id", C.wrap(F.col("i"), F.lit(7)).alias("wrapped"))
 
 
-def human_size(spark, sf):
+def _sizes(spark, sf):
     orders = X.table(spark, sf, "orders")
     n = F.floor(F.col("o_totalprice")).cast("long") * F.element_at(F.array(*[F.lit(v).cast("long") for v in (0, 1, 137, 30011)]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    sized = orders.select("o_orderkey", n.alias("n")).where("n % 100000 not in (0, 50000) and n % 1000 <> 500")
+    return orders.select("o_orderkey", n.alias("n"))
+
+
+def human_size(spark, sf):
+    """Without ties and zeros, as its SQL has it; ``human_size_all`` has every order."""
+    sized = _sizes(spark, sf).where("n % 100000 not in (0, 50000) and n % 1000 <> 500")
     return sized.select("o_orderkey", T.human_size(F.col("n")).alias("shown"))
 
 
+def human_size_all(spark, sf):
+    return _sizes(spark, sf).select("o_orderkey", T.human_size(F.col("n")).alias("shown"))
+
+
 _SIZE_SQL = """WITH t AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * ([0, 1, 137, 30011])[o_orderkey % 4 + 1] AS n FROM orders)
 SELECT o_orderkey, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 999500 THEN round(n / 1000.0)::BIGINT || ' kB'
   WHEN n < 999950000 THEN printf('%.1f MB', n::DOUBLE / 1e6) ELSE printf('%.1f GB', n::DOUBLE / 1e9) END AS shown FROM t WHERE n % 100000 NOT IN (0, 50000) AND n % 1000 <> 500"""
 
+# every order; a tie of MB or GB is decided by the double's exact value, as C's %.1f does
+_ALL_SIZES_SQL = """WITH t AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT * ([0, 1, 137, 30011])[o_orderkey % 4 + 1] AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n < 1000 THEN n || ' B' WHEN n < 999500 THEN ((n + 499 + (n // 1000) % 2) // 1000) || ' kB'
+  WHEN n < 999950000 THEN printf('%.1f MB', n::DOUBLE / 1e6) ELSE printf('%.1f GB', n::DOUBLE / 1e9) END AS shown FROM t"""
+
 
 def fitted_text(spark, sf):
     orders = X.table(spark, sf, "orders").withColumn("said", F.concat("o_orderpriority", F.lit(" é "), F.col("o_orderkey").cast("string")))
@@ -143,6 +157,7 @@ QUERIES = {
     ),
     "wrap_index": (wrap_index, "SELECT event_id, (((floor(value)::BIGINT - 50) % 7 + 7) % 7)::BIGINT AS wrapped FROM events"),
     "human_size": (human_size, _SIZE_SQL),
+    "human_size_all": (human_size_all, _ALL_SIZES_SQL),
     "fitted_text": (
         fitted_text,
         """WITH t AS (SELECT o_orderkey, o_orderpriority || ' é ' || o_orderkey AS s, (o_orderkey % 200) // 8 AS room FROM orders)
