@@ -103,3 +103,11 @@ def test_sizes_at_ties_round_as_c_does(spark, sf):
     got = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", T.human_size(F.col("n")).alias("shown")).collect()
     assert {r.n: r.shown for r in got} == {n: c_size(n) for n in sizes}
     assert plans.queries()["human_size_all"](spark, sf).count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+
+
+def test_header_sizes_look_at_documents(spark, tmp_path):
+    texts = ["plain", "BM" + "x" * 40, "GIF89a" + "ab" * 4, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.id: (r.width, r.height) for r in plans.queries()["header_sizes"](spark, str(tmp_path)).collect()}
+    four, two = 0x78787878, 0x6261
+    assert got == {2: (500, 300), 6: (500, 160), 7: (1600, 1200), 1001: (four, four), 1002: (two, two)}

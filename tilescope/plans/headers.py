@@ -37,7 +37,7 @@ _HEADS_SQL = ", ".join(f"({k}, '{kind}', {('NULL' if kind == 'Other' else repr(B
 
 def header_sizes(spark, sf):
     """Sides from headers: PNG big-endian, GIF and BMP little-endian."""
-    rows = _blobs(spark, sf).where("id < 1000").withColumn("kind", B.sniff(F.col("content")))
+    rows = _blobs(spark, sf).withColumn("kind", B.sniff(F.col("content")))
     c = F.col("content")
     size = F.when(F.col("kind") == "Png", B.png_size(c)).when(F.col("kind") == "Gif", B.gif_size(c)).when(F.col("kind") == "Bmp", B.bmp_size(c))
     return rows.select("id", size.alias("s")).where("s is not null").select("id", "s.width", "s.height")
