@@ -335,6 +335,51 @@ def test_base_secrets_and_grammar(spark):
     assert got[len(some) - 1].n_grammar == 0 and got[len(some) - 2].n_grammar == 1
 
 
+def planted(rng, kind):
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    base62 = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return {"hub": lambda: "ghq_" + word(base62, 36), "uuid": lambda: "-".join(word("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "base32": lambda: word("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32)}[kind]()
+
+
+@pytest.mark.parametrize("kind", ["hub", "uuid", "base32"])
+def test_formats_without_a_base_pattern_are_found(spark, kind):
+    """Learnt from assignments, found where nothing is assigned; ordinary text and numbers stay clean."""
+    rng = random.Random(12)
+    some = [f'{rng.choice(WORDS)} secret = "{planted(rng, kind)}" {rng.choice(WORDS)}' for _ in range(80)]
+    clean = [" ".join("".join(rng.sample(WORDS, 2)) for _ in range(40)) + f" 2024-01-{k % 28 + 1:02} {rng.randrange(10**7, 10**8)} www.{rng.choice(WORDS)}.com/{rng.choice(WORDS)}." for k in range(60)]
+    bare = [f"see {planted(rng, kind)}, or {planted(rng, kind)}." for _ in range(30)]
+    docs = make_docs(spark, some + clean + bare)
+    learnt = grammar.infer(docs)
+    assert set(learnt.kinds) == {"assign"} and len(learnt.kinds["assign"].moves) > 5
+    got = {r.doc_id: r for r in grammar.scan_secrets(docs, learnt).collect()}
+    assert [got[len(some) + len(clean) + k].n_grammar for k in range(30)] == [2] * 30
+    assert sum(got[len(some) + k].n_grammar for k in range(60)) == 0
+    for k, text in enumerate(bare):
+        spans = [x.split(":") for x in got[len(some) + len(clean) + k].spans.split(",")]
+        assert text == f"see {text[int(spans[0][1]):int(spans[0][2])]}, or {text[int(spans[1][1]):int(spans[1][2])]}."
+
+
+def test_lengths_are_kept_apart():
+    rng = random.Random(3)
+    model = grammar.learn(["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)])
+    assert len(model.moves) == 41 and set(model.classes["0"]) == set("0123456789abcdef")
+    assert model.score("0a" * 20) - model.score("0a" * 19) > 0 > model.ends[10]
+
+
+def test_long_values_are_scored_whole(spark):
+    rng = random.Random(5)
+    some = [f"token={''.join(rng.choices('0123456789abcdef', k=64))} x" for _ in range(20)] + [f"secret={'0a' * 5000}", "." * 50_000, "Zq3" * 4000]
+    got = grammar.scan_secrets(make_docs(spark, some)).orderBy("doc_id").collect()
+    assert got[20].spans == "assign:0:10007,hex:7:10007" and got[21].spans == ""
+
+
+def test_few_and_unequal_samples_reach_every_part(spark):
+    words = [f"w{'abcdefgh'[k % 8]}{'klmnopqr'[k // 8 % 8]}{'stuvwxyz'[k // 64]}zz" for k in range(300)]
+    docs = make_docs(spark, [" ".join(words[k : k + 30]) for k in range(0, 300, 3)]).repartition(7)
+    got = grammar.fewer(grammar.labelled(docs, 20), 20, 3).collect()
+    assert sorted(r.value for r in sorted(got, key=lambda r: r.hash)[:20]) == sorted(sorted(words, key=grammar._digest)[:20])
+
+
 def test_automaton_prefers_its_own_format():
     rng = random.Random(2)
     word = lambda letters, n: "".join(rng.choices(letters, k=n))
