@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tilescope.llm import bpe, caps, components, edit_counts, exact_dedup, grammar, licenses, mixing, near_dup, queries, shard, toxicity
+from tilescope.llm import bpe, caps, common, components, edit_counts, exact_dedup, grammar, licenses, mixing, near_dup, queries, shard, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept boolean, shard int, node string, key string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -165,7 +165,7 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
 
 
-def test_near_vectors(spark):
+def test_near_vectors(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
     rows = []
@@ -179,13 +179,34 @@ def test_near_vectors(spark):
         near = (x @ x.T) / norm[:, None] / norm[None, :] >= 0.93
     label = [r[2] for r in rows]
     links = {(a, b) for a in range(400) for b in range(400) if a != b and near[a, b] and label[a] is not None and label[a] == label[b]}
-    got = {r.vec_id: r for r in caps.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: r for r in caps.near_vectors(table).collect()}
     degree = Counter(a for a, _ in links)
+    of = union_find(len(rows), links)
+    # these vectors lie well over the threshold or well below it, or in clusters with many links: no component is torn
+    assert all((r.component_id, r.kept) == (of[k], of[k] == k) for k, r in got.items())
+    for name, small in (("BLOCK", 8), ("DEAL", 4)):  # full filters, hot vectors and centres are dealt, with the same outcome
+        monkeypatch.setattr(caps if name == "BLOCK" else common, name, small)
+    assert {r.vec_id: r for r in caps.near_vectors(table).collect()} == got
     assert all(got[k].n_links <= degree[k] for k in got)
     assert sum(r.n_links for r in got.values()) >= 0.97 * len(links) and len(links) > 500
     assert all(got[k].n_links == 0 and got[k].component_id == k for k in (400, 401, 402, 403, 404, 0, 50))
 
 
+def test_vectors_with_string_ids_wide_and_narrow(spark):
+    rng = np.random.default_rng(4)
+    for width in (1, 4, 768):
+        base = rng.standard_normal((6, width))
+        vectors = [[float(x) for x in base[k % 6] * (1 + k)] for k in range(18)]
+        rows = [(f"v{k:02}", v, "left" if k % 6 < 3 else "right", 7, 8) for k, v in enumerate(vectors)]
+        got = caps.near_vectors(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label string, node int, copies int")).collect()
+        x = np.array(vectors)
+        near = (x @ x.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :] >= 0.93
+        links = [(a, b) for a in range(18) for b in range(18) if a != b and near[a, b] and rows[a][2] == rows[b][2]]
+        of, degree = union_find(18, links), Counter(a for a, _ in links)
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {f"v{k:02}": (degree[k], f"v{of[k]:02}") for k in range(18)}
+
+
 def test_filters_recall_at_the_threshold():
     rng = np.random.default_rng(2)
     a = rng.standard_normal((1500, 64))

@@ -15,15 +15,18 @@ about ``TARGET`` unrelated vectors, up to 4,096 words a block and more beyond.
 larger code needs more filters a vector for the same recall: its threshold is the
 one that random pairs at a cosine of exactly 0.93 reach with a common filter in
 ``RECALL`` of the cases, by simulation, or the one that ``FILTERS`` filters pass if
-that is lower.  Recall is higher above 0.93.  Equal vectors are collapsed beforehand.  Members of
-a filter are compared in blocks, as matrix products; no pairs are emitted, only
-counts of links and, for each member, the smallest member it hangs together with.
+that is lower.  Recall is higher above 0.93.  Equal vectors are collapsed beforehand, by
+MD5.  Members of a filter are compared in blocks, as matrix products; no pairs are
+emitted, only counts of links and, for each member, the smallest member it hangs
+together with.  A vector travels once to each filter that it passes.
 
 Defined results: vectors that are null, zero or hold null or non-finite components,
 a null label and a null ``vec_id`` link with nothing; a vector of another width
 than the first is compared only with vectors of its own width; repeated rows link
-with each other; rows that share a ``vec_id`` are one node of a component; an
-empty table gives an empty result; other columns are not read.
+with each other; rows that share a ``vec_id`` but not a vector are nodes of their own;
+``vec_id`` may be of any type that has an order, and a component is named by its
+smallest; an empty table gives an empty result; very long vectors are
+compared whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,10 +37,10 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, materialize, scratch, small_batches, whole_groups
+from .common import join_dealt, map_slices, materialize, scratch, small_batches, whole_groups
 from .components import components
 
 COSINE = 0.93
@@ -172,7 +175,7 @@ def number_type(vectors: DataFrame) -> type:
 def passed_filters(classes: DataFrame) -> DataFrame:
     """classes: node, label, copies, embedding, words (of the label's code).
 
-    node, label, copies, vector (bytes of its components), width, filters (int32 bytes), filter: a row for each filter passed.
+    node, label, copies, vector (bytes of its components), width, filters (all that it passes): a row for each class.
     """
     number = number_type(classes)
 
@@ -180,35 +183,30 @@ def passed_filters(classes: DataFrame) -> DataFrame:
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
             raw = [np.array(v, dtype=np.float64) for v in part.column("embedding").to_pylist()]
             widths, words = np.array([len(v) for v in raw]), part.column("words").to_numpy()
-            at, filters, lists = [], [], {}
+            lists: list[np.ndarray] = [np.empty(0, dtype=np.int32)] * len(raw)
             for width, size in np.unique(np.stack([widths, words], axis=1), axis=0).tolist():
-                code = code_for(width, size)
                 some = np.flatnonzero((widths == width) & (words == size))
                 matrix = np.vstack([raw[k] for k in some])
                 matrix /= np.abs(matrix).max(axis=1)[:, None]
                 matrix /= np.linalg.norm(matrix, axis=1)[:, None]
-                row, found = code.decode(matrix)
-                at.append(some[row])
-                filters.append(found)
+                row, found = code_for(width, size).decode(matrix)
                 for k, ids in zip(some.tolist(), np.split(found.astype(np.int32), np.flatnonzero(np.diff(row)) + 1), strict=True):
-                    lists[k] = ids.tobytes()
-            at = np.concatenate(at)
-            take = lambda c: part.column(c).take(pa.array(at))
+                    lists[k] = ids
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             return pa.RecordBatch.from_pydict(
                 {
-                    "node": take("node"),
-                    "label": take("label"),
-                    "copies": take("copies"),
-                    "width": pa.array(widths[at], pa.int32()),
-                    "vector": pa.array([raw[k].astype(number).tobytes() for k in range(len(raw))], pa.binary()).take(pa.array(at)),
-                    "filters": pa.array([lists[k] for k in range(len(raw))], pa.binary()).take(pa.array(at)),
-                    "filter": pa.array(np.concatenate(filters), pa.int64()),
+                    "node": part.column("node"),
+                    "label": part.column("label"),
+                    "copies": part.column("copies"),
+                    "width": pa.array(widths, pa.int32()),
+                    "vector": pa.array([v.astype(number).tobytes() for v in raw], pa.binary()),
+                    "filters": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))),
                 }
             )
 
         return work
 
-    schema = "node bigint, label string, copies bigint, width int, vector binary, filters binary, filter bigint"
+    schema = "node bigint, label string, copies bigint, width int, vector binary, filters array<int>"
     return map_slices(classes.select("node", F.col("label").cast("string").alias("label"), "copies", "embedding", "words"), make, schema)
 
 
@@ -247,20 +245,31 @@ def verify_group(low: np.ndarray, high: np.ndarray, same: bool, node: np.ndarray
     return members, links, a if same else np.concatenate([a, b])
 
 
-def verified(passed: DataFrame, number: type) -> DataFrame:
-    """node, links, least: what each filter, or pair of blocks of one, finds about its members."""
-    by_filter = Window.partitionBy("label", "width", "filter")
-    # compare within a filter only where it has two members
-    many = passed.withColumn("members", F.count(F.lit(1)).over(by_filter)).where("members > 1").drop("members")
-    blocks = (
-        many.withColumn("block", F.expr(f"(row_number() over (partition by label, width, filter order by node) - 1) div {BLOCK}"))
-        .withColumn("blocks", F.max("block").over(by_filter) + 1)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def dealt_by_filter(passed: DataFrame) -> DataFrame:
+    """A row for each class, filter and pair of blocks: group, filter, low, high, block and the class.
+
+    A filter of over ``BLOCK`` members is cut into blocks by a hash, and every two of its blocks are a group.
+    """
+    one_each = passed.select("label", "width", F.explode("filters").alias("filter"), "node")
+    full = one_each.groupBy("label", "width", "filter").count().where(F.col("count") > BLOCK)
+    full = materialize(full.select("label", "width", "filter", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "caps-full")
+    rows = passed.withColumn("filter", F.explode("filters"))
+    if full.limit(1).count():  # one for every BLOCK rows at most; Spark's size check decides whether it is broadcast
+        rows = rows.join(full, ["label", "width", "filter"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        rows = rows.withColumn("blocks", F.lit(1))
+    return (
+        rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .withColumn("group", F.xxhash64("label", "width", "filter", "low", "high"))
-        .drop("blocks", "other")
+        .select("group", "filter", "low", "high", "block", "node", "copies", "width", "label", "vector", "filters")
     )
+
+
+def verified(passed: DataFrame, number: type) -> DataFrame:
+    """node, links, least: what each filter, or pair of blocks of one, finds about its members."""
     keys = ["group", "filter", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +277,8 @@ def verified(passed: DataFrame, number: type) -> DataFrame:
             num = lambda c: rows.column(c).to_numpy()
             group, here, low, high, block, node, copies, width = map(num, (*keys, "block", "node", "copies", "width"))
             label = rows.column("label").to_pylist()
-            raw, lists = rows.column("vector").to_pylist(), rows.column("filters").to_pylist()
+            raw, lists = rows.column("vector").to_pylist(), rows.column("filters").combine_chunks()
+            ids, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             new = np.ones(len(group), dtype=bool)
             new[1:] = (group[1:] != group[:-1]) | (here[1:] != here[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
             starts = np.flatnonzero(new)
@@ -281,7 +291,7 @@ def verified(passed: DataFrame, number: type) -> DataFrame:
                         continue
                     vectors = np.frombuffer(b"".join(raw[k] for k in at), dtype=number).reshape(len(at), -1).astype(np.float64)
                     vectors = vectors / np.abs(vectors).max(axis=1)[:, None]
-                    filters = [np.frombuffer(lists[k], dtype=np.int32) for k in at]
+                    filters = [ids[ends[k] : ends[k + 1]] for k in at.tolist()]
                     same = bool(low[s] == high[s])
                     left = np.flatnonzero(block[at] == low[s])
                     right = left if same else np.flatnonzero(block[at] == high[s])
@@ -292,8 +302,7 @@ def verified(passed: DataFrame, number: type) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({n: pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k, n in enumerate(("node", "links", "least"))})
 
     small_batches(passed.sparkSession)
-    chosen = blocks.select(*keys, "block", "node", "copies", "width", "label", "vector", "filters")
-    return chosen.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node bigint, links bigint, least bigint")
+    return dealt_by_filter(passed).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "node bigint, links bigint, least bigint")
 
 
 def near_vectors(embeddings: DataFrame) -> DataFrame:
@@ -304,27 +313,29 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
 
 def _near_vectors(embeddings: DataFrame) -> DataFrame:
     rows = embeddings.select("vec_id", "embedding", "label")
-    links = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    rows = rows.withColumn("usable", links)
-    classes = rows.where("usable").groupBy("label", "embedding").agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "caps-classes")
+    usable_row = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    # what a vector is joined by: 128 bits of its label and its components as they are written in full
+    said = F.concat_ws("|", F.col("embedding").cast("string"), F.col("label").cast("string"))
+    rows = rows.withColumn("sum", F.when(usable_row, F.unhex(F.md5(said.cast("binary")))))
+    some = rows.where("sum is not null").groupBy("sum").agg(
+        F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"), F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
+    )
+    classes = materialize(some.withColumn("node", F.monotonically_increasing_id()), "caps-classes")
     sizes = materialize(classes.groupBy("label").count(), "caps-sizes")
     largest = sizes.agg(F.max("count")).first()[0] or 1
     # a label's own size decides, so only the few labels that need more than the least code are looked up
     sized = sizes.select("label", words_column(F.col("count"), largest).alias("words")).where(f"words > {LEAST_WORDS}")
     coded = classes.join(sized, "label", "left").fillna(LEAST_WORDS, ["words"])
-    found = materialize(verified(passed_filters(coded), number_type(classes)), "caps-links")
+    passed = materialize(passed_filters(coded), "caps-passed")
+    found = materialize(verified(passed, number_type(classes)), "caps-links")
     degrees = found.groupBy("node").agg(F.sum("links").alias("links"))
     hang = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    known = (
-        classes.join(degrees, "node", "left")
-        .join(hang, "node", "left")
-        .select(F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), "copies", "links", F.coalesce("component", "node").alias("component"))
-    )
-    joined = rows.join(known, F.col("usable") & (rows["label"] == F.col("_label")) & (rows["embedding"] == F.col("_embedding")), "left")
-    kind = embeddings.schema["vec_id"].dataType
-    return joined.select(
-        "vec_id",
-        F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "vec_id").cast(kind).alias("component_id"),
-    ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    linked = classes.select("node", "sum", "first_id", "copies").join(degrees, "node", "left").join(hang, "node", "left")
+    linked = materialize(linked.withColumn("component", F.coalesce("component", "node")), "caps-linked")
+    # nodes are numbers of this run; a component is named by its smallest identifier
+    names = materialize(linked.groupBy("component").agg(F.min("first_id").alias("name"), F.count(F.lit(1)).alias("n")), "caps-names")
+    known = join_dealt(linked, names, "component", "n", ["node"])
+    known = materialize(known.select("sum", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("name").alias("component_id")), "caps-known")
+    named = join_dealt(rows.where("sum is not null").select("vec_id", "sum"), known, "sum", "copies", ["vec_id"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("sum is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return named.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -16,8 +16,10 @@ from pyspark.sql.types import StructType
 
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
-#: Rows of an Arrow batch, so that a batch of long texts stays small.
+#: Rows of an Arrow batch; Spark bounds its bytes as well, so that a batch of long texts stays small.
 BATCH_ROWS = 1000
+#: Rows of one key that a task takes; more are dealt over several.
+DEAL = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def join_dealt(many: DataFrame, one: DataFrame, key: str, rows: str, spread: list[str]) -> DataFrame:
+    """``many`` joined with ``one``, which has one row a key and tells in ``rows`` how many of ``many`` have it.
+
+    Keys with over ``DEAL`` rows are dealt over several tasks, by a hash of ``spread``, and meet a copy of
+    their row in each.  ``one`` is read twice: hand in a materialised table.  There is one such key for
+    every ``DEAL`` rows of ``many`` at most; whether their list is broadcast is left to Spark's size check.
+    """
+    hot = one.where(F.col(rows) > DEAL)
+    if not hot.limit(1).count():
+        return many.join(one, key)
+    parts = F.ceil(F.col(rows) / DEAL)
+    hot = materialize(hot.select(F.col(key).alias("_ts_hot"), parts.cast("int").alias("_ts_parts")), "hot-keys")
+    dealt = many.join(hot, F.col(key) == F.col("_ts_hot"), "left")
+    dealt = dealt.withColumn("_ts_part", F.pmod(F.xxhash64(*spread), F.coalesce("_ts_parts", F.lit(1))).cast("int")).drop("_ts_hot", "_ts_parts")
+    copies = one.withColumn("_ts_part", F.explode(F.sequence(F.lit(0), F.greatest(parts.cast("int"), F.lit(1)) - 1)))
+    return dealt.join(copies, [key, "_ts_part"]).drop("_ts_part")
+
+
 def text_of(column: str = "text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

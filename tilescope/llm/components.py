@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_dealt, materialize
 
 
 def _star(both: DataFrame, larger: bool) -> DataFrame:
-    """both: (u, v) for each node u and neighbour v.  Neighbours of u point at the least of them and u."""
-    least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("m"))
+    """both: (u, v) for each node u and neighbour v.  Neighbours of u point at the least of them and u.
+
+    A node with many neighbours is dealt over several tasks.
+    """
+    least = both.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
+    least = materialize(least.select("u", F.least("u", "least").alias("m"), "n"), "least")
     side = F.col("v") > F.col("u") if larger else F.col("v") < F.col("u")
-    found = both.where(side).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    found = join_dealt(both.where(side), least, "u", "n", ["v"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not larger:
         found = found.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return found.where("a <> b")
