@@ -148,6 +148,48 @@ def test_hot_key_and_strangers_in_one_bucket(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(of))
 
 
+def test_near_groups_of_string_ids_and_hot_sets(spark, monkeypatch, texts):
+    """Identifiers that are no numbers, repeated texts and chains, dealt over many tasks."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(common, "DEAL", 3)
+    some = [*texts[:100], *[texts[5]] * 12]
+    table = make_docs(spark, some).withColumn("doc_id", F.format_string("d%04d", "doc_id")).drop("node", "key").withColumns({c: F.lit(1) for c in ("a", "b", "key", "node", "set_hash", "component_id", "_ts_part")})
+    of = union_find(len(some), jaccard_links(some)[1])
+    assert {r.doc_id: r.component_id for r in near_dup.near_groups(table).collect()} == {f"d{k:04}": f"d{of[k]:04}" for k in range(len(some))}
+    left = near_dup.drop_near(table)
+    assert left.columns == table.columns and sorted(r.doc_id for r in left.collect()) == sorted({f"d{k:04}" for k in of})
+
+
+def test_no_true_link_is_ruled_out(monkeypatch):
+    monkeypatch.setattr(near_dup, "SKETCH", 16)
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n, cut = int(rng.integers(1, 60)), int(rng.integers(0, 12))
+        pool = np.unique(rng.integers(0, 2**32, 90, dtype=np.uint64)).astype(np.uint32)
+        rng.shuffle(pool)
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[: max(0, n - cut)], pool[n : n + int(rng.integers(0, 12))]]))
+        if not len(b):
+            continue
+        shared = len(np.intersect1d(a, b))
+        filled = np.full((1, 16), 0xFFFFFFFF, dtype=np.uint32)
+        filled[0, : min(16, len(b))] = b[:16]
+        out = near_dup._ruled_out(a[:16], len(a), filled, np.array([min(16, len(b))]), np.array([len(b)]))[0]
+        link = 100 * shared >= 75 * (len(a) + len(b) - shared)
+        assert not (link and out) and (out == (not link) or max(len(a), len(b)) > 16)
+
+
+def test_a_pair_at_the_threshold_is_near_by_signature():
+    """The chance that a pair at similarity 0.75 is not near by its signature, and then missed if nothing else links it."""
+    rng, missed, pairs = np.random.default_rng(15), 0, 20_000
+    for _ in range(pairs // 100):
+        a = rng.integers(0, 2**63, (100, 100), dtype=np.uint64) * np.uint64(2)
+        for row in a:  # 7 x 100 hashes: 86 shared of 114 united, just over 0.75
+            one, two = row, np.concatenate([row[:86], rng.integers(0, 2**63, 14, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+            missed += int((near_dup.signature(one) != near_dup.signature(two)).sum() > near_dup.MAX_WRONG)
+    assert missed <= 8
+
+
 def test_every_pair_under_the_distance_shares_a_key():
     rng = np.random.default_rng(3)
     for _ in range(200):

@@ -13,20 +13,23 @@
    components.  Then, of keys whose members still lie in several components, all
    pairs across components that are near by signature are compared, each once, in
    the first key that both have, by their sketches: the ``SKETCH`` smallest hashes of
-   a set, which for a smaller set are all of it.  A sketch rules a pair out if the
-   whole sets cannot be a link or, beyond its size, if five standard deviations do;
-   the rest is confirmed.  A pair inside a component adds nothing, so a key that
+   a set, which for a smaller set are all of it.  A sketch rules a pair out only if
+   the sets could not be a link even if they shared all that it does not show; the
+   rest is confirmed.  A pair inside a component adds nothing, so a key that
    thousands of near copies share costs thousands of confirmations, not millions.
 
-Hot keys of the second step are cut into blocks and blocks are paired, so a task
-never holds more than ``2 * BLOCK`` members of a key.
+Members of a hot key are dealt over tasks wherever they are joined; in the second step
+they are cut into blocks by a hash, and blocks are paired, so a task holds about
+``2 * BLOCK`` members of a key.
 
 Defined results: a null text counts as empty; a document without words has an
 empty set, is linked with nothing and is its own component; repeated rows and
 rows that share a ``doc_id`` are one document; a null ``doc_id`` takes part in
 links, and its component is the smallest non-null identifier reachable or else
-null; texts are whole, of any length; an empty table gives an empty result;
-other columns are not read.
+null; ``doc_id`` may be of any type that has an order, and where it is no whole number
+classes are numbered by 64 bits of their set's hash; texts are whole, of any length;
+an empty table gives an empty result; other columns, whatever their names, are not
+read by ``near_groups`` and come through ``drop_near`` as they were.
 """
 
 from __future__ import annotations
@@ -37,11 +40,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
-from .common import map_slices, materialize, scratch, slices, small_batches, text_of, whole_groups
+from .common import join_dealt, map_slices, materialize, scratch, slices, small_batches, text_of, whole_groups
 from .components import components
 
 SHINGLE = 5
@@ -137,8 +140,8 @@ def signed(docs: DataFrame) -> DataFrame:
     return map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles bigint, set_hash binary, signature binary")
 
 
-def key_members(classes: DataFrame) -> DataFrame:
-    """key, node, first (the smallest node of the key), of keys that several nodes share."""
+def dealt_keys(classes: DataFrame) -> DataFrame:
+    """key, node: all keys of each class."""
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,9 +152,14 @@ def key_members(classes: DataFrame) -> DataFrame:
 
         return work
 
-    dealt = map_slices(classes.select("node", "signature"), make, "key bigint, node bigint", rows=1000)
-    by_key = Window.partitionBy("key")
-    return dealt.withColumn("first", F.min("node").over(by_key)).withColumn("members", F.count(F.lit(1)).over(by_key)).where("members > 1")
+    return map_slices(classes.select("node", "signature"), make, "key bigint, node bigint", rows=1000)
+
+
+def key_members(classes: DataFrame) -> DataFrame:
+    """key, node, first (the smallest node of the key), members, of keys that several nodes share; hot keys are dealt."""
+    dealt = dealt_keys(classes)
+    shared = dealt.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    return join_dealt(dealt, materialize(shared, "near-shared"), "key", "members", ["node"])
 
 
 def _near(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -226,24 +234,23 @@ def _ruled_out(one: np.ndarray, size_one: int, others: np.ndarray, length: np.nd
     inside &= others <= end[:, None]
     at = np.minimum(np.searchsorted(one, others.ravel()), len(one) - 1)
     shared = ((one[at] == others.ravel()).reshape(others.shape) & inside).sum(axis=1)
-    united = np.searchsorted(one, end.astype(np.float64), side="right") + inside.sum(axis=1) - shared
-    whole = (size <= SKETCH) & (size_one <= SKETCH)
-    slack = np.where(whole, 0.0, 5 * np.sqrt(PERCENT * (100 - PERCENT) * np.maximum(united, 1)))
-    return 100.0 * shared < PERCENT * united - slack
+    # at best all that is not known is shared too
+    rest = np.minimum(size_one - np.searchsorted(one, end.astype(np.float64), side="right"), size - inside.sum(axis=1))
+    most = shared + np.maximum(rest, 0)
+    return 100 * most < PERCENT * (size_one + size - most)
 
 
 def pairs_across(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that share a key, lie in different components and are not ruled out.
 
-    members: key, node, component, of keys with members in several components.
+    members: key, members (how many), node, component, of keys with members in several components.
     """
     members = materialize(members, "near-mixed")
     known = materialize(sketches(texts, members.select("node").distinct()), "near-sketches").dropDuplicates(["node"])
-    rank = Window.partitionBy("key").orderBy("node")
     blocks = (
-        members.withColumn("block", F.expr(f"(row_number() over (partition by key order by node) - 1) div {BLOCK}"))
-        .withColumn("blocks", F.max("block").over(rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) + 1)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "component")
     )
     about = classes.select("node", "signature", "n_shingles").join(known, "node")
@@ -302,15 +309,19 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def _near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, set_hash, leads (whether its set is its component's smallest node)."""
     rows = materialize(signed(docs), "near-signed")
-    # a class: one set; its node number is its smallest doc_id, or a negative hash where it has none
-    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
-    node = F.coalesce(F.col("least").cast("long"), -F.abs(F.xxhash64("set_hash")) - 1)
+    # a class: one set; its node number is its smallest doc_id, or a negative hash where it has no whole number for one
+    classes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("rows"))
+    numbered = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    by_hash = -F.abs(F.xxhash64("set_hash")) - 1
+    node = F.coalesce(F.col("least").cast("long"), by_hash) if numbered else by_hash
     classes = materialize(classes.withColumn("node", node), "near-classes")
     members = materialize(key_members(classes), "near-keys")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
-    if docs.where("doc_id is null").limit(1).count():
-        nameless = docs.where("doc_id is null").select("text")
-        texts = texts.unionByName(_nameless_texts(nameless))
+    if numbered:
+        texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), "text")
+        if docs.where("doc_id is null").limit(1).count():
+            texts = texts.unionByName(_nameless_texts(docs.where("doc_id is null").select("text")))
+    else:
+        texts = _nameless_texts(docs.select("text"))
     texts = texts.withColumn("text", text_of())
     # of whole texts only those are looked at again that share a key; they are dealt by node at every size
     texts = materialize(texts.join(members.select("node").distinct().hint("merge"), "node", "left_semi"), "near-texts")
@@ -318,9 +329,9 @@ def _near_groups(docs: DataFrame) -> DataFrame:
     linked = materialize(confirmed(materialize(near_only(star, classes), "near-stars"), texts, many=True), "near-links")
     found = materialize(components(linked), "near-components")
     rest = members.where("members > 2").select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    by_key = Window.partitionBy("key")
-    rest = rest.withColumn("least", F.min("component").over(by_key)).withColumn("most", F.max("component").over(by_key)).where("least <> most")
-    across = materialize(pairs_across(rest.select("key", "node", "component"), classes, texts), "near-across")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most")
+    rest = join_dealt(rest, materialize(mixed.select("key", "members"), "near-mixed-keys"), "key", "members", ["node"])
+    across = materialize(pairs_across(rest.select("key", "members", "node", "component"), classes, texts), "near-across")
     if across.limit(1).count():
         more = materialize(confirmed(across, texts, many=False), "near-more")
         if more.limit(1).count():
@@ -350,14 +361,15 @@ def _nameless_texts(nameless: DataFrame) -> DataFrame:
 
 def _by_row(rows: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     kind = rows.schema["doc_id"].dataType
-    named = classes.select("set_hash", "node", "least").join(found.withColumnRenamed("component", "of"), "node", "left")
+    named = classes.select("set_hash", "node", "least", "rows").join(found.withColumnRenamed("component", "of"), "node", "left")
+    named = materialize(named.withColumn("of", F.coalesce("of", "node")), "near-named")
     # a component's name is its smallest identifier; nodes without one are below zero and count last
-    ids = named.groupBy(F.coalesce("of", "node").alias("of")).agg(F.min("least").alias("component_id"))
-    named = named.select("set_hash", "node", F.coalesce("of", "node").alias("of")).join(ids, "of").select("set_hash", "component_id", F.expr("node = of").alias("leads"))
-    many = named.withColumnRenamed("set_hash", "_hash")
-    joined = rows.join(many, rows["set_hash"] == many["_hash"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).cast(kind)
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "set_hash", "leads").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = materialize(named.groupBy("of").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "near-ids")
+    named = join_dealt(named, ids, "of", "n", ["node"]).select("set_hash", "component_id", F.expr("node = of").alias("leads"), "rows")
+    joined = join_dealt(rows.where("n_shingles > 0"), materialize(named, "near-sets"), "set_hash", "rows", ["doc_id"])
+    joined = joined.select("doc_id", "n_shingles", F.col("component_id").cast(kind).alias("component_id"), "set_hash", "leads")
+    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "set_hash", F.lit(None).cast("boolean").alias("leads"))
+    return joined.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
