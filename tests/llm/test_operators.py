@@ -474,6 +474,48 @@ def test_communication_matrix_law():
     assert np.abs(total / 400 - counts[:, None] / 3).max() < 0.6
 
 
+def test_large_pools_follow_the_exact_law():
+    """By inversion: against exact whole-number probabilities, numpy's sampler, and the moments of a pool it does not reach."""
+    from math import comb
+
+    good, bad, sample = 40, 60, 30
+    weights = [comb(good, k) * comb(bad, sample - k) for k in range(sample + 1)]
+    grid = (np.arange(20_000) + 0.5) / 20_000
+    got = Counter(shard.by_inversion(good, bad, sample, u) for u in grid)
+    assert all(abs(got[k] / 20_000 - w / sum(weights)) <= 1e-4 for k, w in enumerate(weights))
+    assert [shard.by_inversion(5, 0 + 3, 8, u) for u in (0.0, 0.5, 0.999)] == [5] * 3
+    rng = np.random.default_rng(6)
+    good, bad, sample = 12 * 10**9, 88 * 10**9, 10**6
+    draws = np.array([shard._hypergeometric(rng, good, bad, sample) for _ in range(3000)])
+    assert abs(draws.mean() - 120_000) < 30 and abs(draws.std() / (sample * 0.12 * 0.88) ** 0.5 - 1) < 0.05
+    matrix = shard.communication_matrix(np.array([4 * 10**9, 10**6, 7 * 10**9 + 3]), 8, 3)
+    assert matrix.sum(axis=1).tolist() == [4 * 10**9, 10**6, 7 * 10**9 + 3] and np.ptp(matrix.sum(axis=0)) <= 1
+
+
+def test_partitions_grow_with_the_rows_and_equal_rows_spread(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    table = common.materialize(spark.range(900).select(F.lit(1).alias("k"), (F.col("id") % 3).alias("rank")).repartition(2), "equal-rows")
+    monkeypatch.setattr(shard, "PARTITIONS", 4)
+    monkeypatch.setattr(shard, "PARTITION_ROWS", 30)
+    monkeypatch.setattr(shard, "SLOT_BUCKETS", 2)
+    for limit in (65_536, 1):
+        monkeypatch.setattr(shard, "BROADCAST_PARTITIONS", limit)
+        got = shard.shuffle_rows(table, ["k"], 7).collect()
+        by = defaultdict(list)
+        for r in got:
+            by[r.shard].append(r.slot)
+        assert len(got) == 900 and all(sorted(v) == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} <= {128, 129}
+
+
+def test_shards_are_written_whole(spark, tmp_path, docs):
+    docs = docs.drop("shard")
+    shard.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert back.groupBy("shard").count().count() == 4
+
+
 def test_mixture_redistributes_among_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("a", "de", "s3", 1000), ("b", "en", "s4", 1000)], "domain string, lang string, source string, tokens bigint")
     mix = mixing.Mix(budget_permille=200, max_epochs=1)
