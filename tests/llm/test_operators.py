@@ -338,6 +338,30 @@ def test_edited_counts_equal_a_recount(tokenizer, reference_encoder):
         assert tree.text() == want and before == len(reference_encoder.encode_ordinary(t)) and after == len(reference_encoder.encode_ordinary(want))
 
 
+def test_stored_trees_take_edit_after_edit(spark, tokenizer, reference_encoder, tmp_path):
+    """Three rounds of edits, each on the trees that the round before wrote."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(16)
+    want = {k: t or "" for k, t in enumerate([*odd_texts()[:120], None, "", " ".join(WORDS * 300)])}
+    held = edit_counts.token_trees(make_docs(spark, list(want.values())), *tokenizer)
+    for step in range(3):
+        held.write.parquet(str(tmp_path / str(step)))
+        scripts = {k: [(rng.randrange(len(t) + 3), rng.choice([0, 1, 30]), rng.choice(["", " é", "x" * 400, "don't "])) for _ in range(rng.randrange(4))] for k, t in want.items()}
+        table = spark.createDataFrame([(k, s) for k, s in scripts.items()], "id bigint, script array<struct<at:int,n:int,put:string>>")
+        joined = spark.read.parquet(str(tmp_path / str(step))).join(table, F.col("doc_id") == F.col("id"))
+        held = edit_counts.edit_trees(joined, *tokenizer, F.col("script"))
+        old = {k: len(reference_encoder.encode_ordinary(t)) for k, t in want.items()}
+        for k, script in scripts.items():
+            for at, n, put in script:
+                at = min(at, len(want[k]))
+                want[k] = want[k][:at] + put + want[k][at + n :]
+        for r in held.collect():
+            assert (r.text, r.n_tokens_before, r.n_tokens) == (want[r.doc_id], old[r.doc_id], len(reference_encoder.encode_ordinary(want[r.doc_id])))
+            assert sum(r.tree.lengths) == len(r.text) == r.tree.chars[1] and sum(r.tree.counts) == r.n_tokens == r.tree.tokens[1] and sum(r.tree.sizes) == len(r.tree.counts)
+            assert r.n_encoded_anew < 20 + 3 * 410 and (scripts[r.doc_id] or r.n_encoded_anew == 0)
+
+
 def test_an_edit_re_encodes_little(tokenizer):
     enc = bpe.encoder(bpe.read_ranks(tokenizer[0]), tokenizer[1])
     text = " ".join(WORDS * 500)

@@ -1,17 +1,23 @@
 """Edit-aware token counts.
 
-Each document keeps a segment tree over its pre-tokens: leaves hold up to ``LEAF``
-pre-tokens with their lengths and token counts, inner nodes the sums of both.  An
-edit descends by character position to its leaf, goes back to the first pre-token
+Each document keeps a segment tree over its pre-tokens: leaves hold some ``LEAF``
+pre-tokens with their lengths and token counts, inner nodes the sums of both.  Trees
+are columns of a table (``TREE``): ``token_trees`` builds it, ``edit_trees`` reads a
+tree back, applies edits and returns the changed tree, which the next edit takes.
+Nothing that an edit does not touch is cut or encoded a second time.
+
+An edit descends by character position to its leaf, goes back to the first pre-token
 whose match could have seen the edited characters, and cuts pre-tokens anew until
 a boundary behind the edit falls on an old one; from there on nothing can differ.
 Only the new pre-tokens are encoded (those of all documents of a slice together),
 and sums are updated along the path to the root.
 
-Defined results: a null text counts as empty; positions and lengths beyond the
-text are cut to it; null edits or an empty list change nothing; edits apply one
-after the other, each to the outcome of the one before; repeated rows are counted
-each; an empty table gives an empty result; other columns are not read.
+Defined results: a null text counts as empty, and its tree has no pre-tokens;
+positions and lengths beyond the text are cut to it; null edits or an empty list
+change nothing; edits apply one after the other, each to the outcome of the one
+before, so edits at one place have the order of the list; texts and pre-tokens of any
+length are whole; repeated rows are counted each; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Cut, Encoder, encoder, read_ranks
-from .common import BATCH_ROWS, map_slices, text_of
+from .common import BATCH_ROWS, map_slices, materialize, scratch, text_of
 
 LEAF = 64
 #: Characters behind an edit that are cut anew at first; doubled until old and new boundaries meet.
@@ -30,20 +36,26 @@ SLACK = 64
 
 
 class PieceTree:
-    """lengths, counts: characters and tokens of the pre-tokens of ``text``."""
-
-    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray):
-        n = max(1, -(-len(lengths) // LEAF))
-        self.size = 1 << (n - 1).bit_length()
-        starts = np.arange(0, max(1, len(lengths)), LEAF)
-        chars, tokens = np.zeros(self.size, dtype=np.int64), np.zeros(self.size, dtype=np.int64)
-        if len(lengths):
-            chars[:n] = np.add.reduceat(lengths, starts)
-            tokens[:n] = np.add.reduceat(counts, starts)
-        ends = chars.cumsum()
+    """lengths, counts: characters and tokens of the pre-tokens of ``text``; sizes: pre-tokens of each leaf.
+
+    chars and tokens: the sums, node k over nodes 2k and 2k + 1, the root at 1; made where they are not handed in.
+    """
+
+    def __init__(self, text: str, lengths: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None, chars: list[int] | None = None, tokens: list[int] | None = None):
+        if sizes is None:
+            n = max(1, -(-len(lengths) // LEAF))
+            sizes = np.zeros(1 << (n - 1).bit_length(), dtype=np.int64)
+            sizes[:n] = LEAF
+            sizes[n - 1] = len(lengths) - LEAF * (n - 1)
+        self.size = len(sizes)
+        ends = np.concatenate([[0], sizes.cumsum()])
+        if chars is None or tokens is None:
+            over = lambda x: np.diff(np.concatenate([[0], x.cumsum()])[ends])
+            chars, tokens = self._sums(over(lengths)), self._sums(over(counts))
+        self.chars, self.tokens = chars, tokens
+        starts = np.concatenate([[0], np.array(chars[self.size :], dtype=np.int64).cumsum()]).tolist()
         self.leaves: list[tuple[str, list[int], list[int]] | None] = [None] * self.size
-        self.base = (text, lengths, counts, (ends - chars).tolist(), ends.tolist())
-        self.chars, self.tokens = self._sums(chars), self._sums(tokens)
+        self.base = (text, lengths, counts, starts, ends.tolist())
 
     def _sums(self, leaves: np.ndarray) -> list[int]:
         levels = [leaves]
@@ -51,6 +63,19 @@ class PieceTree:
             levels.append(levels[-1].reshape(-1, 2).sum(axis=1))
         return [0, *np.concatenate(levels[::-1]).tolist()]
 
+    def parts(self) -> tuple[str, np.ndarray, np.ndarray, list[int]]:
+        """Text, lengths, counts and leaf sizes as they are now."""
+        text, lengths, counts, starts, ends = self.base
+        if not any(self.leaves):
+            return text, lengths, counts, np.diff(ends).tolist()
+        texts, all_lengths, all_counts, sizes = [], [], [], []
+        for k, leaf in enumerate(self.leaves):
+            texts.append(text[starts[k] : starts[k + 1]] if leaf is None else leaf[0])
+            all_lengths.append(lengths[ends[k] : ends[k + 1]] if leaf is None else np.array(leaf[1], dtype=np.int64))
+            all_counts.append(counts[ends[k] : ends[k + 1]] if leaf is None else np.array(leaf[2], dtype=np.int64))
+            sizes.append(len(all_lengths[-1]))
+        return "".join(texts), np.concatenate(all_lengths), np.concatenate(all_counts), sizes
+
     @property
     def total(self) -> int:
         return self.tokens[1]
@@ -58,8 +83,8 @@ class PieceTree:
     def leaf(self, k: int) -> tuple[str, list[int], list[int]]:
         if self.leaves[k] is None:
             text, lengths, counts, starts, ends = self.base
-            at = slice(k * LEAF, (k + 1) * LEAF)
-            self.leaves[k] = (text[starts[k] : ends[k]], lengths[at].tolist(), counts[at].tolist())
+            at = slice(ends[k], ends[k + 1])
+            self.leaves[k] = (text[starts[k] : starts[k + 1]], lengths[at].tolist(), counts[at].tolist())
         return self.leaves[k]
 
     def find(self, pos: int) -> tuple[int, int]:
@@ -82,7 +107,7 @@ class PieceTree:
             at //= 2
 
     def text(self) -> str:
-        return "".join(self.leaf(k)[0] for k in range(self.size))
+        return self.parts()[0]
 
     def edit(self, pattern, at: int, n: int, put: str) -> tuple[int, list[str]] | None:
         """Cut anew around an edit.  Returns the leaf that waits for the counts of its pre-tokens, and the new ones."""
@@ -166,11 +191,9 @@ def count_words(bpe: Encoder, words: list[str]) -> list[int]:
     return bpe.encode_cut(Cut(data, size.cumsum() - size, size, np.array([len(raw)]))).size.tolist()
 
 
-def apply_edits(bpe: Encoder, texts: list[str], edits: list[list[tuple[int, int, str]]]) -> list[tuple[int, int, int, PieceTree]]:
-    """(tokens before, tokens after, pre-tokens encoded anew, tree) of each text."""
-    found = trees(bpe, texts)
-    before = [t.total for t in found]
-    anew = [0] * len(texts)
+def edit_all(bpe: Encoder, found: list[PieceTree], edits: list[list[tuple[int, int, str]]]) -> list[int]:
+    """Apply each document's edits to its tree (trees that grew uneven are dealt anew); pre-tokens encoded anew."""
+    anew = [0] * len(found)
     for k in range(max(map(len, edits), default=0)):
         waiting, words = [], []
         for d, (tree, some) in enumerate(zip(found, edits, strict=True)):
@@ -183,11 +206,91 @@ def apply_edits(bpe: Encoder, texts: list[str], edits: list[list[tuple[int, int,
             anew[d] += n
             at += n
             if found[d].grown():  # leaves have grown out of proportion: deal the pre-tokens out again
-                leaves = [found[d].leaf(i) for i in range(found[d].size)]
-                found[d] = PieceTree("".join(x[0] for x in leaves), np.array(sum((x[1] for x in leaves), []), dtype=np.int64), np.array(sum((x[2] for x in leaves), []), dtype=np.int64))
+                found[d] = PieceTree(*found[d].parts()[:3])
+    return anew
+
+
+def apply_edits(bpe: Encoder, texts: list[str], edits: list[list[tuple[int, int, str]]]) -> list[tuple[int, int, int, PieceTree]]:
+    """(tokens before, tokens after, pre-tokens encoded anew, tree) of each text."""
+    found = trees(bpe, texts)
+    before = [t.total for t in found]
+    anew = edit_all(bpe, found, edits)
     return [(b, t.total, a, t) for b, t, a in zip(before, found, anew, strict=True)]
 
 
+#: A tree as a column: lengths and counts by pre-token, sizes by leaf, sums by node.
+TREE = "struct<lengths:array<int>,counts:array<int>,sizes:array<int>,chars:array<bigint>,tokens:array<bigint>>"
+
+
+def tree_column(some: list[PieceTree]) -> tuple[pa.Array, pa.Array]:
+    """Texts and trees of a batch."""
+    parts = [t.parts() for t in some]
+    many = lambda rows, kind: pa.array(rows, pa.list_(kind))
+    columns = [
+        many([np.asarray(p[1], dtype=np.int32) for p in parts], pa.int32()),
+        many([np.asarray(p[2], dtype=np.int32) for p in parts], pa.int32()),
+        many([p[3] for p in parts], pa.int32()),
+        many([t.chars for t in some], pa.int64()),
+        many([t.tokens for t in some], pa.int64()),
+    ]
+    return pa.array([p[0] for p in parts], pa.string()), pa.StructArray.from_arrays(columns, ["lengths", "counts", "sizes", "chars", "tokens"])
+
+
+def read_trees(texts: pa.Array, column: pa.StructArray) -> list[PieceTree]:
+    def arrays(name: str) -> list[np.ndarray]:
+        lists = column.field(name)
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        return [values[a:b].astype(np.int64) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    rows = zip(texts.to_pylist(), *map(arrays, ("lengths", "counts", "sizes", "chars", "tokens")), strict=True)
+    return [PieceTree(t, lengths, counts, sizes, chars.tolist(), tokens.tolist()) for t, lengths, counts, sizes, chars, tokens in rows]
+
+
+def token_trees(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """doc_id, text (null as empty), tree, n_tokens: a tree for each row of ``docs``."""
+    rank_file = read_ranks(rank_path)
+
+    def make():
+        bpe = encoder(rank_file, pattern)
+
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = trees(bpe, [t or "" for t in part.column("text").to_pylist()])
+            texts, column = tree_column(found)
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), texts, column, pa.array([t.total for t in found], pa.int64())], ["doc_id", "text", "tree", "n_tokens"])
+
+        return work
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint", rows=BATCH_ROWS)
+
+
+def edit_trees(held: DataFrame, rank_path: str, pattern: str, edits: Column) -> DataFrame:
+    """held: doc_id, text, tree.  The same with the edits applied, and n_edits, n_tokens_before, n_tokens, n_encoded_anew.
+
+    edits: array of (at, n, put) in code points, as a column over ``held``.
+    """
+    rank_file = read_ranks(rank_path)
+
+    def make():
+        bpe = encoder(rank_file, pattern)
+
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            found = read_trees(part.column("text"), part.column("tree"))
+            scripts = [[(e["at"] or 0, e["n"] or 0, e["put"] or "") for e in some or [] if e] for some in part.column("edits").to_pylist()]
+            before = [t.total for t in found]
+            anew = edit_all(bpe, found, scripts)
+            texts, column = tree_column(found)
+            numbers = [list(map(len, scripts)), before, [t.total for t in found], anew]
+            names = ["doc_id", "text", "tree", "n_edits", "n_tokens_before", "n_tokens", "n_encoded_anew"]
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), texts, column, *[pa.array(x, pa.int64()) for x in numbers]], names)
+
+        return work
+
+    kind = held.schema["doc_id"].dataType.simpleString()
+    more = "n_edits bigint, n_tokens_before bigint, n_tokens bigint, n_encoded_anew bigint"
+    return map_slices(held.select("doc_id", "text", "tree", edits.alias("edits")), make, f"doc_id {kind}, text string, tree {TREE}, {more}", rows=BATCH_ROWS)
+
+
 def sample_edits(n: int = 3) -> Column:
     """A made-up edit script for each document: replacements, insertions and deletions at hashed places."""
     size = F.length(text_of()) + 1
@@ -201,31 +304,12 @@ def sample_edits(n: int = 3) -> Column:
 
 
 def edited_counts(docs: DataFrame, rank_path: str, pattern: str, edits: Column | None = None) -> DataFrame:
-    """doc_id, n_edits, n_tokens (before), n_tokens_edited, n_encoded_anew.
+    """doc_id, n_edits, n_tokens (before), n_tokens_edited, n_encoded_anew: trees are stored, read back and edited.
 
-    edits: array of (at, n, put) in code points; by default ``sample_edits``.
+    edits: as in ``edit_trees``; by default ``sample_edits``.
     """
-    rank_file = read_ranks(rank_path)
-
-    def make():
-        bpe = encoder(rank_file, pattern)
-
-        def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            scripts = [[(e["at"] or 0, e["n"] or 0, e["put"] or "") for e in some or [] if e] for some in part.column("edits").to_pylist()]
-            done = apply_edits(bpe, texts, scripts)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": part.column("doc_id"),
-                    "n_edits": pa.array(map(len, scripts), pa.int64()),
-                    "n_tokens": pa.array([r[0] for r in done], pa.int64()),
-                    "n_tokens_edited": pa.array([r[1] for r in done], pa.int64()),
-                    "n_encoded_anew": pa.array([r[2] for r in done], pa.int64()),
-                }
-            )
-
-        return work
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    chosen = docs.select("doc_id", "text", (edits if edits is not None else sample_edits()).alias("edits"))
-    return map_slices(chosen, make, f"doc_id {kind}, n_edits bigint, n_tokens bigint, n_tokens_edited bigint, n_encoded_anew bigint", rows=BATCH_ROWS)
+    with scratch(docs.sparkSession):
+        held = materialize(token_trees(docs, rank_path, pattern), "token-trees")
+        done = edit_trees(held, rank_path, pattern, edits if edits is not None else sample_edits())
+        counts = done.select("doc_id", "n_edits", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_encoded_anew")
+        return materialize(counts, "edited-counts", last=True)
