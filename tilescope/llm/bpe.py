@@ -9,7 +9,10 @@ Rounds cost the square of a row's length, so pre-tokens over ``LONGEST_ROW``
 bytes take the same rule through a heap of pairs; results are equal.
 
 Defined results: a null text counts as empty; an empty text has no ids; special
-tokens' strings are ordinary text; texts and pre-tokens of any length are whole.
+tokens' strings are ordinary text; texts and pre-tokens of any length are whole; of
+pairs of equal rank the leftmost merges first; repeated rows are encoded each; an
+empty table gives an empty result; other columns, whatever their names, are not read by
+``encode_decode`` and come through ``encode_documents`` as they were.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import BATCH_ROWS, map_slices
+from .common import BATCH_ROWS, map_slices, unused
 
 #: The Unicode characters of White_Space, as the rank files' own tokenizer reads \s.
 WHITE = r"\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -432,10 +436,14 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, with_ids: bool
 
 
 def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """All columns of ``docs`` with ``text`` as decoded from its ids; rows are as many as before."""
+    """All columns of ``docs`` as they were, with n_tokens, ids and decoded_sha256 (of what the ids decode to) behind them.
+
+    Where ``docs`` has a column of such a name, the new one has underscores behind its name.
+    """
     rank_file = read_ranks(rank_path)
     names = docs.columns
     at = names.index("text")
+    added = [StructField(unused(docs, n), t) for n, t in (("n_tokens", LongType()), ("ids", ArrayType(IntegerType())), ("decoded_sha256", StringType()))]
 
     def make():
         bpe = encoder(rank_file, pattern)
@@ -448,9 +456,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
                 pa.array(ids, pa.list_(pa.int32())),
                 pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
             ]
-            return pa.RecordBatch.from_arrays([*arrays, *extra], names=[*names, "n_tokens", "ids", "decoded_sha256"])
+            return pa.RecordBatch.from_arrays([*arrays, *extra], names=[*names, *(f.name for f in added)])
 
         return work
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_slices(docs, make, f"{fields}, n_tokens bigint, ids array<int>, decoded_sha256 string", rows=BATCH_ROWS)
+    return map_slices(docs, make, StructType([*docs.schema.fields, *added]), rows=BATCH_ROWS)
