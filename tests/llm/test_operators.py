@@ -609,6 +609,68 @@ def test_mixture_redistributes_among_siblings_first(spark):
     assert got == {"s1": 10, "s2": 140, "s3": 150, "s4": 301}
 
 
+def plain_mixture(rows, mix):
+    """Water-filling and epochs written out: rows are (domain, lang, source, doc_id, tokens); returns copies by position."""
+    from fractions import Fraction
+
+    def fill(members, budget):
+        """members: name -> (weight, cap).  Levels rise together until each is full or the budget is spent."""
+        got, open_, left = dict.fromkeys(members, 0), {k for k, (w, c) in members.items() if w}, budget
+        while open_:
+            total = sum(members[k][0] for k in open_)
+            full = {k for k in open_ if Fraction(left * members[k][0], total) >= members[k][1]}
+            if not full:
+                return got | {k: left * members[k][0] // total for k in open_}
+            for k in full:
+                got[k] = members[k][1]
+            left, open_ = left - sum(members[k][1] for k in full), open_ - full
+        return got
+
+    held = Counter()
+    for d, la, s, _, n in rows:
+        held[d, la, s] += n
+    cap = lambda *head: mix.max_epochs * sum(n for leaf, n in held.items() if leaf[: len(head)] == head)
+    copies = [0] * len(rows)
+    of_domain = fill({d: (mix.domains.get(d, mix.other), cap(d)) for d in {x[0] for x in held}}, sum(held.values()) * mix.budget_permille // 1000)
+    for d, b in of_domain.items():
+        of_lang = fill({la: (mix.langs.get(la, mix.other), cap(d, la)) for la in {x[1] for x in held if x[0] == d}}, b)
+        for la, c in of_lang.items():
+            for s, budget in fill({s: (mix.sources.get(s, mix.other), cap(d, la, s)) for s in {x[2] for x in held if x[:2] == (d, la)}}, c).items():
+                members = [k for k, r in enumerate(rows) if r[:3] == (d, la, s)]
+                epochs, rest = divmod(budget, held[d, la, s]) if held[d, la, s] else (1, 0)
+                by_key = defaultdict(list)
+                for k in members:
+                    by_key[hashlib.md5(f"{mix.seed}|{epochs}|{'null' if rows[k][3] is None else rows[k][3]}".encode()).hexdigest()].append(k)
+                spent = 0
+                for k in members:
+                    copies[k] = epochs
+                for key in sorted(by_key):
+                    spent += sum(rows[k][4] for k in by_key[key])
+                    if spent > rest or not rest:
+                        break
+                    for k in by_key[key]:
+                        copies[k] += 1
+    return copies
+
+
+@pytest.mark.parametrize("leaves", [50_000, 0])
+def test_mixture_rows_equal_a_plain_version(spark, monkeypatch, docs, leaves):
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", leaves)
+    for mix in (mixing.Mix(langs={"de": 900, "en": 100}, sources={"src1": 0}, budget_permille=700, max_epochs=3), mixing.Mix(budget_permille=250, max_epochs=1)):
+        odd = with_oddities(docs)
+        rows = [tuple(r) for r in mixing.slim_rows(odd).collect()]
+        want = Counter((*r, n) for r, n in zip(rows, plain_mixture(rows, mix), strict=True) if n)
+        got = Counter((r.domain, r.lang, r.source, r.doc_id, r.tokens, r.copies) for r in mixing.mix_documents(odd, mix).collect())
+        assert got == want and len(want) > 20
+
+
+def test_tokens_of_a_budget_are_counted_whole(spark, docs, texts):
+    import regex
+
+    rows = {r.doc_id: r.tokens for r in mixing.slim_rows(docs).collect()}
+    assert rows == {k: len(regex.findall(r"\p{L}+|\p{N}+|[^ \t\n\x0b\x0c\r\p{L}\p{N}]+", t or "")) for k, t in enumerate(texts)}
+
+
 def test_mixture_never_exceeds_budgets_and_repeats_epochs(spark, docs):
     mix = mixing.Mix(langs={"de": 900, "en": 100}, budget_permille=900, max_epochs=3)
     slim = mixing.slim_rows(docs)
@@ -641,6 +703,56 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.mean([r.predicted == toxic[r.doc_id] for r in held]) > 0.97
 
 
+def plain_nnpu(found, is_pos, n_words, prior, steps=500, rate=0.05):
+    """The same estimator written out document by document and word by word."""
+    import math
+
+    pos, unl = [f for f, p in zip(found, is_pos, strict=True) if p], [f for f, p in zip(found, is_pos, strict=True) if not p]
+    decay = max(0.02 / len(pos), 1e-5)
+    theta = [0.0] * n_words + [math.log(prior / (1 - prior))]
+    m, v = [0.0] * (n_words + 1), [0.0] * (n_words + 1)
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for step in range(1, steps + 1):
+        z = lambda f: theta[-1] + sum(theta[w] for w in f)
+        loss = lambda f: math.log1p(math.exp(z(f)))
+        risk = sum(map(loss, unl)) / len(unl) - prior * sum(map(loss, pos)) / len(pos)
+        grad = [decay * t for t in theta[:-1]] + [0.0]
+        for group, positive in ((pos, True), (unl, False)):
+            for f in group:
+                s = sigmoid(z(f))
+                towards_one = prior * (s - 1) / len(pos) if positive else 0.0
+                towards_zero = -prior * s / len(pos) if positive else s / len(unl)
+                d = towards_one + towards_zero if risk >= 0 else -towards_zero
+                for w in [*f, n_words]:
+                    grad[w] += d
+        for w, g in enumerate(grad):
+            m[w], v[w] = 0.9 * m[w] + 0.1 * g, 0.999 * v[w] + 0.001 * g * g
+            theta[w] -= rate * (m[w] / (1 - 0.9**step)) / (math.sqrt(v[w] / (1 - 0.999**step)) + 1e-8)
+    return theta[:-1], min(theta[-1], math.log(prior / (1 - prior)))
+
+
+@pytest.mark.parametrize("prior", [0.05, 0.6])
+def test_weights_equal_a_plain_loop(prior):
+    """Both where the corrected risk stays positive and where it turns negative and steps go back."""
+    rng = random.Random(13)
+    is_pos = np.array([k % 4 == 0 for k in range(60)])
+    found = [np.array(sorted(rng.sample(range(6), rng.randrange(4)) if not p else rng.sample(range(3), 2))) for p in is_pos]
+    words = [f"w{k}" for k in range(6)]
+    model = toxicity.train(found, is_pos, words, prior)
+    weights, bias = plain_nnpu([f.tolist() for f in found], is_pos, 6, prior)
+    assert abs(model.bias - bias) < 1e-6 and all(abs(model.weights.get(w, 0.0) - x) < 1e-3 + 1e-9 for w, x in zip(words, weights, strict=True))
+    assert all(abs(model.weights[w] - weights[k]) < 1e-6 for k, w in enumerate(words) if w in model.weights)
+
+
+def test_toxicity_held_out_on_the_given_tables(spark):
+    """Ranking and decisions on rows whose labels and texts were not trained on."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    scored = toxicity.score_documents(docs, toxicity.fit(docs, labels)).where("held_out").join(labels, "doc_id").collect()
+    bad, good = [r.score for r in scored if r.toxic], [r.score for r in scored if not r.toxic]
+    auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert len(bad) > 8 and auc > 0.75 and np.mean([g >= 0.3 for g in good]) < 0.05
+
+
 def test_nothing_to_learn_from(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert {r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, labels)).collect()} == {0.0}

@@ -91,3 +91,62 @@ def test_rows_without_an_identifier_are_decided_one_by_one(spark):
     got = [tuple(r) for r in out.collect()]
     assert out.schema == docs.schema and set(got) <= set(rows)
     assert sorted(k for _, _, k in got) == ["clean", "clean", "named", "named", "no words", "no words", "only each other"]
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+CLASHES = ("_ts_id", "_ts_sha", "_ts_digest", "_ts_hash", "_ts_doc_id", "_ts_copies", "_ts_part", "n_tokens", "ids", "decoded_sha256", "kept", "node", "component_id", "score", "toxic", "row", "label")
+
+
+def odd_rows():
+    long = " ".join(f"word{k % 977}" for k in range(60_000))
+    rows = [(k, f"clean text number {k} of its kind, with words w{k} v{k} u{k} t{k} s{k}", ("en", "de", None)[k % 3], (None, "s1", "s2")[k % 3], 1) for k in range(20)]
+    rows += [(30, None, "en", "s1", None), (31, "", "en", "s1", 0), (32, " \n", None, None, 2), (33, long, "en", "s2", len(long)), (34, long + " end", "en", "s2", 1)]
+    return rows + [rows[0], rows[3], (None, rows[5][1], "en", "s1", 1), (None, "a text without a name that stands alone here", None, None, 1), (35, rows[7][1].replace(" ", "  "), "en", "s1", 1)]
+
+
+def staged(spark, folder, docs, labels):
+    """Rows and columns after each stage, of documents with columns of every name that a stage uses."""
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(docs, ODD).withColumns({c: F.concat(F.lit("own-"), F.coalesce("doc_id", F.lit(-1))) for c in CLASHES}).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    table, out = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, folder).write.parquet(f"{folder}/stage-{k}")
+        table = spark.read.parquet(f"{folder}/stage-{k}")
+        out.append((table.columns, [r.asDict() for r in table.collect()]))
+    return out
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, tmp_path):
+    names = [*(f.split()[0] for f in ODD.split(", ")), *CLASHES]
+    out = staged(spark, str(tmp_path), odd_rows(), [(k, 1, int(k % 9 == 0)) for k in range(12)])
+    for columns, rows in out[:4]:
+        assert columns == names
+    columns, rows = out[4]
+    assert columns == [*names, "n_tokens_", "ids_", "decoded_sha256_"]
+    for r in rows:
+        assert all(r[c] == f"own-{-1 if r['doc_id'] is None else r['doc_id']}" for c in CLASHES)
+        assert r["decoded_sha256_"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+    assert len(out[0][1]) == len(odd_rows())
+    # blank texts are one group, equal texts and repeated rows too
+    exact = [re.sub("[\x20\x09-\x0d]", "", r["text"] or "") for r in out[1][1]]
+    assert len(exact) == len(set(exact)) and set(exact) == {re.sub("[\x20\x09-\x0d]", "", r[1] or "") for r in odd_rows()}
+    near = sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in out[2][1])
+    assert 33 in near and 34 not in near and near.count(-1) == 1 and set(range(20)) - {7, 35} <= set(near)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    assert [len(rows) for _, rows in staged(spark, str(tmp_path), [], [])] == [0] * 5
+
+
+def test_run_deletes_what_the_stages_wrote(spark, sf):
+    import os
+
+    from tilescope.llm.common import shared_dir
+
+    root = shared_dir(spark) + "/tilescope"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(spark, sf)
+    left = set(os.listdir(root)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("pipeline-tokens") and out.count() > 0

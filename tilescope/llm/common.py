@@ -41,14 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+#: The scratch folders that are open, the innermost last.
+_scratch: ContextVar[tuple[str, ...]] = ContextVar("scratch", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """What is materialised inside is deleted in the end, but for what is said to be ``last``."""
+    """What is materialised inside is deleted in the end; what is said to be ``last`` with the scratch around this one, if any."""
     root = f"{shared_dir(spark)}/tilescope/scratch-{uuid.uuid4().hex}"
-    token = _scratch.set(root)
+    token = _scratch.set((*_scratch.get(), root))
     try:
         yield
     finally:
@@ -60,9 +61,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, tag: str, last: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
     so that a lost executor costs one stage and not the whole history."""
-    root = _scratch.get()
-    if last or root is None:
-        root = f"{shared_dir(df.sparkSession)}/tilescope"
+    roots = _scratch.get()[:-1] if last else _scratch.get()
+    root = roots[-1] if roots else f"{shared_dir(df.sparkSession)}/tilescope"
     path = f"{root}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -97,6 +97,14 @@ def join_dealt(many: DataFrame, one: DataFrame, key: str, rows: str, spread: lis
     return dealt.join(copies, [key, "_ts_part"]).drop("_ts_part")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text"):
     """The text, with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

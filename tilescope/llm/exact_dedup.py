@@ -1,10 +1,10 @@
 """Exact dedup by a tree-merge of sorted digest runs (DataFrame functions only).
 
 Every row belongs to one of ``n_runs`` runs.  A run keeps, for each digest, its
-best row.  Runs then meet in binomial rounds: in round k the ``FAN_IN`` runs
-that share ``run >> 3k`` are merged, and of each digest the best identifier is
-retained, so a digest that a third of all rows share contributes at most
-``FAN_IN`` rows to a merge.  The tree's root is split by digest, never one task.
+best row.  Runs then meet in binomial rounds: in round k the eight runs that share
+``run >> 3k`` are exchanged by (run, digest), sorted, and merged by a sort aggregate,
+which retains the best identifier of each digest, so a digest that a third of all
+rows share contributes at most eight rows to a merge.  The tree's root is split by digest, never one task.
 Decisions travel down the same tree, keyed by (run, digest), so that the rows of
 a hot digest stay dealt over all runs.
 
@@ -14,7 +14,9 @@ hash and the length of the normalised text all agree.
 Defined results: a null text counts as empty; all empty or blank texts are one
 group; of rows that agree in length and ``doc_id`` (repeated rows) exactly one
 stays; a null ``doc_id`` stays only where its group has no other candidate of
-its length; an empty table gives an empty result; other columns are not read.
+its length; texts of any length are hashed whole; an empty table gives an empty
+result; other columns, whatever their names, are not read by ``exact_groups`` and come
+through ``drop_exact`` as they were.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, scratch, text_of, unused
 
 #: What the comparison ignores: space and the characters 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -73,7 +75,11 @@ def merge_tree(heads: DataFrame, n_runs: int) -> DataFrame:
 
 def exact_groups(docs: DataFrame, n_runs: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    n_runs = n_runs or run_count(docs)
+    with scratch(docs.sparkSession):
+        return materialize(_exact_groups(docs, n_runs or run_count(docs)), "exact-groups", last=True)
+
+
+def _exact_groups(docs: DataFrame, n_runs: int) -> DataFrame:
     level0 = materialize(digest_runs(docs, n_runs), "digest-runs")
     heads = level0.where("rank = 1")
     root = merge_tree(heads, n_runs)
@@ -89,10 +95,10 @@ def exact_groups(docs: DataFrame, n_runs: int | None = None) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that do not stay; all columns as they were."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_ts_id"), F.unhex("text_sha256").alias("_ts_sha"))
-    sha = F.unhex(F.sha2(normalised(text_of()), 256))
+    fresh = {c: unused(docs, f"_ts_{c}") for c in ("digest", "chars", "rank", "id", "sha")}
+    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias(fresh["id"]), F.unhex("text_sha256").alias(fresh["sha"]))
     names = docs.columns
-    rows = docs.withColumn("_ts_digest", sha).withColumn("_ts_chars", F.length(text_of()))
-    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_ts_id"]) & (rows["_ts_digest"] == kept["_ts_sha"]))
-    first = Window.partitionBy("_ts_id", "_ts_sha").orderBy(F.desc("_ts_chars"))
-    return joined.withColumn("_ts_rank", F.row_number().over(first)).where("_ts_rank = 1").select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.withColumn(fresh["digest"], F.unhex(F.sha2(normalised(text_of()), 256))).withColumn(fresh["chars"], F.length(text_of()))
+    joined = rows.join(kept, rows["doc_id"].eqNullSafe(kept[fresh["id"]]) & (rows[fresh["digest"]] == kept[fresh["sha"]]))
+    first = Window.partitionBy(fresh["id"], fresh["sha"]).orderBy(F.desc(fresh["chars"]))
+    return joined.withColumn(fresh["rank"], F.row_number().over(first)).where(F.col(fresh["rank"]) == 1).select(*[F.col(f"`{c}`") for c in names])

@@ -13,8 +13,12 @@ The order is that of md5(seed, epoch, doc_id); its first ``BUCKET_DIGITS``
 hex digits are a bucket, and only the one bucket of a leaf that the budget ends
 in is ever sorted, so a leaf with a third of all rows is no bottleneck.
 
-Defined results: a null domain, language or source is a value of its own; a null
-text has no tokens; rows with the same ``doc_id`` in a leaf stand or fall
+A token is a word, a number or a run of other signs, counted exactly in whole texts;
+exact counts of a tokenizer can be handed in as a column.  Budgets are rounded down, so a
+family may leave as many tokens unspent as it has members.
+
+Defined results: a null domain, language or source is a value of its own; a null or
+empty text has no tokens, texts of any length are counted whole; rows with the same ``doc_id`` in a leaf stand or fall
 together; a leaf of weight 0 gets nothing; an empty table gives an empty result;
 columns that clash with names used here do no harm.
 """
@@ -27,9 +31,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_of
+from .common import materialize, scratch, text_of, unused
 
 BUCKET_DIGITS = 3
+#: A table of leaves up to this size is broadcast; a larger one is joined by its key.
+BROADCAST_LEAVES = 50_000
 
 
 @dataclass(frozen=True)
@@ -52,9 +58,13 @@ def domain_of(source: str = "source") -> Column:
     return F.concat(F.lit("domain"), F.pmod(digit, F.lit(4)).cast("string"))
 
 
-def token_estimate() -> Column:
-    """Four UTF-8 bytes a token, rounded up; exact counts can be handed in instead."""
-    return F.ceil(F.octet_length(text_of()) / 4).cast("long")
+#: A token of a budget: a word, a number, or a run of other signs.
+TOKEN = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
+
+
+def token_count() -> Column:
+    """Exact number of ``TOKEN`` in the whole text; counts of any tokenizer can be handed in instead."""
+    return F.regexp_count(text_of(), F.lit(TOKEN)).cast("long")
 
 
 def _weight(name: Column, weights: Mapping[str, int], other: int) -> Column:
@@ -113,6 +123,12 @@ def _order_key(seed: int, epoch: Column, doc_id: str) -> Column:
     return F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), "UTF-8"))
 
 
+def _small(leaves: DataFrame) -> DataFrame:
+    """A materialised table with a row a leaf, to be broadcast if it is small: rows then stay where they are,
+    however many of them a leaf has."""
+    return F.broadcast(leaves) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else leaves
+
+
 def choose(slim: DataFrame, mix: Mix) -> DataFrame:
     """slim: domain, lang, source, doc_id, tokens (read three times; materialise it).
 
@@ -125,7 +141,7 @@ def choose(slim: DataFrame, mix: Mix) -> DataFrame:
         F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 1 END").alias("epochs"),
         F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END").alias("rest"),
     )
-    rows = slim.join(budgets, leaf).withColumn("order_key", _order_key(mix.seed, F.col("epochs"), "doc_id"))
+    rows = slim.join(_small(budgets), leaf).withColumn("order_key", _order_key(mix.seed, F.col("epochs"), "doc_id"))
     rows = rows.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     buckets = rows.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("here"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*leaf).orderBy("bucket")
@@ -138,7 +154,7 @@ def choose(slim: DataFrame, mix: Mix) -> DataFrame:
     )
     ends = materialize(ends, "mix-ends")
     # the rows of the one bucket of each leaf in which its budget ends; equal keys count together
-    last = rows.join(ends, leaf).where("bucket = end_bucket")
+    last = rows.join(_small(ends), leaf).where("bucket = end_bucket")
     upto = Window.partitionBy(*leaf).orderBy("order_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = (
         last.withColumn("upto", F.col("before") + F.sum("tokens").over(upto))
@@ -147,7 +163,7 @@ def choose(slim: DataFrame, mix: Mix) -> DataFrame:
         .agg(F.max("order_key").alias("last_key"))
     )
     ends = ends.join(cuts, leaf, "left").select(*leaf, "end_bucket", F.coalesce("last_key", F.lit("")).alias("last_key"))
-    taken = rows.join(ends, leaf, "left")
+    taken = rows.join(_small(materialize(ends, "mix-cuts")), leaf, "left")
     inside = F.coalesce((F.col("bucket") < F.col("end_bucket")) | (F.col("order_key") <= F.col("last_key")), F.col("rest") > 0)
     return taken.withColumn("copies", F.col("epochs") + inside.cast("long")).where("copies > 0").drop("epochs", "rest", "order_key", "bucket", "end_bucket", "last_key")
 
@@ -159,26 +175,25 @@ def slim_rows(docs: DataFrame, tokens: Column | None = None, domain: Column | No
         named("lang").alias("lang"),
         named("source").alias("source"),
         "doc_id",
-        (tokens if tokens is not None else token_estimate()).alias("tokens"),
+        (tokens if tokens is not None else token_count()).alias("tokens"),
     )
 
 
-def mix_documents(docs: DataFrame, mix: Mix) -> DataFrame:
+def mix_documents(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
     """domain, lang, source, doc_id, tokens, copies of the rows that the mixture takes."""
-    return choose(materialize(slim_rows(docs), "mix-rows"), mix)
+    with scratch(docs.sparkSession):
+        return materialize(choose(materialize(slim_rows(docs, tokens), "mix-rows"), mix), "mix-chosen", last=True)
 
 
-def take_mixture(docs: DataFrame, mix: Mix) -> DataFrame:
+def take_mixture(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
     """``docs`` with each row as often as the mixture takes it; all columns as they were."""
-    names = docs.columns
-    chosen = mix_documents(docs, mix)
-    chosen = chosen.groupBy("doc_id", "domain", "lang", "source").agg(F.max("copies").alias("copies"))
-    chosen = chosen.select(*[F.col(c).alias(f"_ts_{c}") for c in chosen.columns])
-    rows = docs.withColumns({f"_ts_of_{c}": col for c, col in (("domain", domain_of()), ("lang", F.coalesce(F.col("lang").cast("string"), F.lit("(none)"))), ("source", F.coalesce(F.col("source").cast("string"), F.lit("(none)"))))})
-    on = rows["doc_id"].eqNullSafe(chosen["_ts_doc_id"])
-    for c in ("domain", "lang", "source"):
-        on = on & (rows[f"_ts_of_{c}"] == chosen[f"_ts_{c}"])
-    joined = rows.join(chosen, on)
+    fresh = {c: unused(docs, f"_ts_{c}") for c in ("doc_id", "domain", "lang", "source", "copies", "epoch")}
+    chosen = mix_documents(docs, mix, tokens).groupBy("doc_id", "domain", "lang", "source").agg(F.max("copies").alias("copies"))
+    chosen = chosen.select(*[F.col(c).alias(fresh[c]) for c in chosen.columns])
+    named = lambda c: F.coalesce(docs[c].cast("string"), F.lit("(none)"))
+    on = docs["doc_id"].eqNullSafe(chosen[fresh["doc_id"]]) & (named("lang") == chosen[fresh["lang"]]) & (named("source") == chosen[fresh["source"]])
+    # a source is of one domain, so language and source are a whole key
+    joined = docs.join(chosen, on)
     if mix.max_epochs > 1:
-        joined = joined.withColumn("_ts_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_ts_copies"))))
-    return joined.select(*[F.col(f"`{c}`") for c in names])
+        joined = joined.withColumn(fresh["epoch"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(fresh["copies"]))))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
-from .common import join_dealt, map_slices, materialize, scratch, slices, small_batches, text_of, whole_groups
+from .common import join_dealt, map_slices, materialize, scratch, slices, small_batches, text_of, unused, whole_groups
 from .components import components
 
 SHINGLE = 5
@@ -341,7 +341,8 @@ def _near_groups(docs: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """``docs`` with _ts_hash in front, null for an empty set."""
+    """The hash of the set (null for an empty one), the text and the whole row of each row, as _ts_hash, text, row."""
+    docs = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
     def make():
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -355,7 +356,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 def _nameless_texts(nameless: DataFrame) -> DataFrame:
     """node, text of rows without doc_id; nodes that a named document stands for are never asked for."""
-    hashed = _hashed(nameless.select(F.col("text").cast("string").alias("text"))).where("_ts_hash is not null").dropDuplicates(["_ts_hash"])
+    hashed = _hashed(nameless.select("text")).where("_ts_hash is not null").dropDuplicates(["_ts_hash"])
     return hashed.select((-F.abs(F.xxhash64("_ts_hash")) - 1).alias("node"), "text")
 
 
@@ -381,8 +382,9 @@ def drop_near(docs: DataFrame) -> DataFrame:
     """
     with scratch(docs.sparkSession):
         groups = materialize(_near_groups(docs).select("doc_id", "component_id", "set_hash", "leads", "kept"), "near-rows", last=True)
-    dropped = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_ts_id")).distinct()
-    named = docs.where("doc_id is not null").join(dropped.hint("merge"), docs["doc_id"] == dropped["_ts_id"], "left_anti")
+    gone = unused(docs, "_ts_id")
+    dropped = groups.where("doc_id is not null and not kept").select(F.col("doc_id").alias(gone)).distinct()
+    named = docs.where("doc_id is not null").join(dropped.hint("merge"), docs["doc_id"] == dropped[gone], "left_anti")
     if not docs.where("doc_id is null").limit(1).count():
         return named
     return named.unionByName(_nameless_left(docs.where("doc_id is null"), groups))
@@ -390,8 +392,7 @@ def drop_near(docs: DataFrame) -> DataFrame:
 
 def _nameless_left(nameless: DataFrame, groups: DataFrame) -> DataFrame:
     """Of rows without doc_id those that stay; groups: doc_id, component_id, set_hash, leads."""
-    row = F.struct(*[F.col(f"`{c}`") for c in nameless.columns])
-    hashed = _hashed(nameless).select("_ts_hash", "text", row.alias("row"))
+    hashed = _hashed(nameless)
     leading = groups.where("doc_id is null and component_id is null and leads").select(F.col("set_hash").alias("_ts_hash")).distinct()
     # of equal sets the row of the smallest text, and then of the smallest other columns
     alone = hashed.join(leading, "_ts_hash", "left_semi").groupBy("_ts_hash").agg(F.min_by("row", F.struct(text_of().alias("text"), F.to_json("row").alias("all"))).alias("row"))

@@ -92,11 +92,11 @@ SELECT e.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(l
 FROM embeddings e LEFT JOIN degree d ON d.a = e.vec_id LEFT JOIN least l ON l.a = e.vec_id
 """
 
-OP4_SQL = """
+OP4_SQL = r"""
 WITH slim AS (
   SELECT 'domain' || ((strpos('0123456789abcdef', substr(md5(coalesce(source, '')), 1, 1)) - 1) % 4)::VARCHAR AS domain,
     coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, doc_id,
-    ((octet_length(encode(coalesce(text, ''))) + 3) // 4)::BIGINT AS tokens FROM documents
+    len(regexp_extract_all(coalesce(text, ''), '\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+'))::BIGINT AS tokens FROM documents
 ), leaves AS (
   SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens, (sum(tokens) * 2)::BIGINT AS cap FROM slim GROUP BY ALL
 ), d0 AS (

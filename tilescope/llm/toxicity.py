@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents and a bounded sample of all other documents of the
-training folds (whose labels, if any, are not looked at) train a logistic model
-with numpy.  Its risk estimate is corrected by the class prior p:
+Confirmed toxic documents (``MAX_POSITIVE`` at most) and a sample of all documents of
+the training folds (``MAX_UNLABELLED`` at most, whose labels are not looked at), each
+the smallest by hash of ``doc_id``, train a logistic model with numpy.  Its risk estimate is corrected by the class prior p:
 
     p * E_pos[loss(+1)] + max(0, E_unl[loss(-1)] - p * E_pos[loss(-1)])
 
@@ -16,8 +16,9 @@ held out: neither their labels nor their texts are used for training.
 Defined results: a null text counts as empty and scores as a text without known
 words; without any confirmed toxic example every score is 0; repeated rows score
 alike; a null ``doc_id`` is in no training fold; an empty table gives an empty
-result; other columns are not read, and ``labels`` may hold several rows a
-document (one toxic row is enough) or none.
+result; texts of any length are read whole; ``labels`` may hold several rows a
+document (one toxic row is enough) or none; other columns, whatever their names, are
+not read, and come through ``drop_toxic`` as they were.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from .common import map_slices, materialize, scratch, text_of
 #: Most documents of either kind that a model is trained on.
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 8000
-#: Most words that a model looks at, and in how many toxic sample documents each occurs at least.
+#: A parameter of the model, not of the corpus: its width.  Of the words that tell toxic documents apart (each in at
+#: least ``LEAST_POSITIVE`` of them, by ``LEAST_SIGNAL`` standard errors) the ``MAX_WORDS`` that do so best have a weight.
 MAX_WORDS = 4000
 LEAST_POSITIVE = 3
 LEAST_SIGNAL = 5.0
@@ -147,7 +149,8 @@ def _fit(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled:
 
         return work
 
-    rows = map_slices(sample, make, "toxic boolean, found array<int>").orderBy(F.desc("toxic"), "found").collect()
+    # at most max_positive + max_unlabelled rows; in one order, so that sums do not depend on that of the tasks
+    rows = sorted(map_slices(sample, make, "toxic boolean, found array<int>").collect(), key=lambda r: (not r["toxic"], r["found"]))
     return train([np.array(r["found"], dtype=np.int64) for r in rows], np.array([r["toxic"] for r in rows], dtype=bool), words, min(max(prior, 1e-4), 0.9))
 
 
