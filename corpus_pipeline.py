@@ -2,6 +2,15 @@
 
 Each stage's rows are written as Parquet and read again as the next one's input.
 All but the last return the columns of ``documents``; the last adds the token ids.
+
+Defined results: a null text counts as empty in every stage, and rows with empty
+texts are one group of exact copies; texts of any length are whole; of rows that are
+repeated, or equal in text, one stays (the longest original, then the smallest
+``doc_id``); a row without ``doc_id`` is decided by its text alone; null languages and
+sources are values of their own; an empty table, or empty labels, give an empty
+result or an unfiltered one; further columns of ``documents``, whatever their names,
+come through as they were, and where one is called like a column that the last stage
+adds, the added one has underscores behind its name.
 """
 
 from __future__ import annotations
@@ -9,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tilescope.llm import bpe, exact_dedup, mixing, near_dup, toxicity
-from tilescope.llm.common import materialize, table
+from tilescope.llm.common import materialize, scratch, table
 from tilescope.llm.queries import tokenizer
 
 #: The mixture takes nine tenths of what is left, by nearly even weights: after
@@ -50,9 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"pipeline-{name.replace(' ', '-')}")
+    """The last stage's rows; what the stages before wrote is deleted."""
+    with scratch(spark):
+        docs = table(spark, sf_dir, "documents")
+        for k, (name, stage) in enumerate(STAGES):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}", last=k + 1 == len(STAGES))
     return docs
