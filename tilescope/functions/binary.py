@@ -51,7 +51,7 @@ def sniff(data: Column) -> Column:
 
 #: Names shown for formats.
 FORMAT_NAMES = {
-    "Jpeg": "JPEG", "Png": "PNG", "WebP": "WebP", "Jxl": "JPEG XL", "Gif": "GIF", "Bmp": "BMP", "Ico": "ICO",
+    "Jpeg": "JPEG", "Png": "PNG", "WebP": "WEBP", "Jxl": "JXL", "Gif": "GIF", "Bmp": "BMP", "Ico": "ICO",
     "Icns": "ICNS", "Tiff": "TIFF", "Heif": "HEIF", "Svg": "SVG", "Pdf": "PDF",
 }
 

@@ -16,7 +16,8 @@ def unquoted(c: Column) -> Column:
 
 
 def expanded(path: Column, home: str) -> Column:
-    return F.when(path == "~", F.lit(home)).when(path.startswith("~/"), F.concat(F.lit(home), F.substring(path, F.lit(2), F.char_length(path)))).otherwise(path)
+    inside = path.startswith("~/") | path.startswith("~\\")
+    return F.when(path == "~", F.lit(home)).when(inside, F.concat(F.lit(home + "/"), F.substring(path, F.lit(3), F.char_length(path)))).otherwise(path)
 
 
 def abbreviated(path: Column, home: str) -> Column:
@@ -85,10 +86,18 @@ def svg_axis(whole: Column, box: Column, origin: Column, scale: Column, align: i
     return (whole - box * scale) * align / 2 - origin * scale
 
 
-def setting_in_range(text: Column, low: int = 50, high: int = 1000) -> Column:
-    v = text.try_cast("int")
+def setting_in_range(text: Column, low: int, high: int) -> Column:
+    """A whole number with nothing around it, within bounds; null otherwise."""
+    v = F.when(text.rlike("^-?[0-9]+$"), text.try_cast("int"))
     return F.when(v.between(low, high), v)
 
 
-def hex_name(n: Column) -> Column:
-    return F.lpad(F.lower(F.hex(n)), 16, "0")
+def hex_digits(n: Column) -> Column:
+    """An unsigned number of up to 64 bits, as a decimal, in sixteen hexadecimal digits."""
+    return F.lpad(F.lower(F.conv(n.cast("string"), 10, 16)), 16, "0")
+
+
+def cache_identity(size: Column, contents: Column, headroom: Column, white: Column) -> Column:
+    """What a cache is named by: size and contents, on an HDR display its headroom, and its white where that is not 203 nits."""
+    tag = F.when(headroom > 1, F.concat(F.lit("|pq|"), F.format_string("%.2f", headroom), F.when(white != 203, F.format_string("|%.0f", white)).otherwise("")))
+    return F.concat(size.cast("string"), F.lit("|"), hex_digits(contents), F.coalesce(tag, F.lit("")))

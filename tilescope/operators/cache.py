@@ -64,66 +64,32 @@ def admit(jobs: DataFrame, budget: int) -> DataFrame:
     return jobs.withColumn("go", F.col("current") | (asked + F.col("estimate") <= budget))
 
 
-def lru_log(log: DataFrame, budget: int, pinned: str = "pinned") -> DataFrame:
-    """log: cache, seq, key, bytes, pinned.  Replays accesses against a budget: ``hit``, ``evicted`` (how many) and ``held`` bytes after each.
-
-    Evictions depend on all that went before, so a cache's log is one sequence; caches are independent and
-    spread over tasks.  Pinned tiles are never evicted; putting a key again replaces it.
-    """
-
-    def replay(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        held: dict[int, tuple[int, bool]] = {}
-        total, out = 0, []
-        for key, size, pin in zip(rows["key"], rows["bytes"], rows[pinned], strict=True):
-            hit = key in held
-            if hit:
-                total -= held.pop(key)[0]
-            held[key] = (int(size), bool(pin))
-            total += int(size)
-            gone = 0
-            if total > budget:
-                for old in [k for k, (_, p) in held.items() if not p and k != key]:
-                    if total <= budget:
-                        break
-                    total -= held.pop(old)[0]
-                    gone += 1
-            out.append((hit, gone, total))
-        return rows[["cache", "seq"]].assign(hit=[o[0] for o in out], evicted=[o[1] for o in out], held=[o[2] for o in out])
-
-    return log.groupBy("cache").applyInPandas(replay, "cache bigint, seq bigint, hit boolean, evicted bigint, held bigint")
-
-
 def trim(entries: DataFrame, budget: int, spare: int) -> DataFrame:
     """entries: session, idx, rank, used, preview, whole, frames (bytes of each).  What a cache keeps, in this order:
     drop entries outside the window beyond ``spare``; cut whole images and drop animations that are not near;
-    while over budget evict the farthest; then drop animations, then whole images, of all but the current."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        far = 1 << 20
-        items = rows.sort_values("idx").to_dict("records")
-        outside = sorted((e for e in items if e["rank"] >= far), key=lambda e: (-e["used"], e["idx"]))
-        gone = {e["idx"] for e in outside[spare:]}
-        items = [e for e in items if e["idx"] not in gone]
-        for e in items:
-            if e["rank"] > 1:
-                e["whole"] = e["frames"] = 0
-        size = lambda: sum(e["preview"] + e["whole"] + e["frames"] for e in items)
-        while size() > budget:
-            able = [e for e in items if e["rank"] > 1 and e["preview"] + e["whole"] + e["frames"] > 0]
-            if not able:
-                break
-            worst = max(able, key=lambda e: (e["rank"], -e["used"], -e["idx"]))
-            items.remove(worst)
-        for part in ("frames", "whole"):
-            for e in items:
-                if size() <= budget:
-                    break
-                if e["rank"] > 0:
-                    e[part] = 0
-        return pd.DataFrame(items, columns=list(rows.columns))
-
-    return entries.groupBy("session").applyInPandas(run, entries.schema)
+    while over budget evict the farthest; then drop animations, then whole images, of all but the current.
+
+    Each rule takes entries in an order until enough is freed: a running sum over what went before.
+    """
+    session = Window.partitionBy("session")
+    before = lambda *order: session.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    run = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    far = F.col("rank") >= (1 << 20)
+    place = F.row_number().over(Window.partitionBy("session", far).orderBy(F.desc("used"), "idx"))
+    kept = entries.withColumn("_place", place).where(~far | (F.col("_place") <= spare)).drop("_place")
+    near = lambda c: F.when(F.col("rank") > 1, F.lit(0).cast("long")).otherwise(F.col(c)).alias(c)
+    kept = kept.select("session", "idx", "rank", "used", "preview", near("whole"), near("frames"))
+    kept = kept.withColumn("_size", F.expr("preview + whole + frames")).withColumn("_total", F.sum("_size").over(session))
+    able = F.when((F.col("rank") > 1) & (F.col("_size") > 0), F.col("_size")).otherwise(0)
+    farthest = before(F.desc("rank"), "used", "idx")
+    kept = kept.withColumn("_able", able).withColumn("_freed", run("_able", farthest))
+    kept = kept.where(~((F.col("_able") > 0) & (F.col("_total") - F.col("_freed") > budget)))
+    for part in ("frames", "whole"):
+        kept = kept.withColumn("_total", F.sum(F.expr("preview + whole + frames")).over(session))
+        kept = kept.withColumn("_able", F.when(F.col("rank") > 0, F.col(part)).otherwise(0)).withColumn("_freed", run("_able", before("idx")))
+        cut = (F.col("rank") > 0) & (F.col("_total") - F.col("_freed") > budget)
+        kept = kept.withColumn(part, F.when(cut, F.lit(0).cast("long")).otherwise(F.col(part)))
+    return kept.select(*entries.columns)
 
 
 def spaced_checkpoints(offsets: DataFrame, spacing: int) -> DataFrame:

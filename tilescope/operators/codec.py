@@ -118,3 +118,26 @@ def splice(data: Column, edits: Column) -> Column:
 def smaller_encoding(sizes: DataFrame) -> DataFrame:
     """sizes: planes, palette (null if not a palette).  Adds ``encoding``; ties go to planes."""
     return sizes.withColumn("encoding", F.when(F.col("palette") < F.col("planes"), "palette").otherwise("planes"))
+
+
+def stored_channels(alpha: Column, encoding: Column) -> Column:
+    """Three where a tile has no use for its alpha; a PQ word keeps it."""
+    return F.when(alpha | (encoding == "pq"), 4).otherwise(3)
+
+
+def expanded(px: DataFrame, colour: str, depth: int, key: tuple[int, ...] | None = None) -> DataFrame:
+    """px: image, x, y, s0.. (samples of ``colour``: grey, grey_alpha, rgb or rgba, 8 or 16 bits).  r, g, b, a of 8 bits.
+
+    Samples of 16 bits are scaled with rounding; a colour that equals the key as stored is clear, and without alpha all else is solid.
+    """
+    n = {"grey": 1, "grey_alpha": 2, "rgb": 3, "rgba": 4}[colour]
+    narrow = lambda c: F.expr(f"int(({c} * 255 + 32895) >> 16)") if depth == 16 else F.col(c).cast("int")
+    shown = [narrow("s0")] * 3 if n < 3 else [narrow(f"s{k}") for k in range(3)]
+    if n in (2, 4):
+        alpha = narrow(f"s{n - 1}")
+    else:
+        clear = F.lit(False) if key is None else F.lit(True)
+        for k, v in enumerate(key or ()):
+            clear = clear & (F.col(f"s{k}") == v)
+        alpha = F.when(clear, 0).otherwise(255)
+    return px.select("image", "x", "y", *[c.alias(name) for c, name in zip([*shown, alpha], "rgba", strict=True)])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookups import last_at_or_before
+
 
 def latest_wins(requests: DataFrame) -> DataFrame:
     """Of each session its last request."""
@@ -31,9 +33,19 @@ def debounce(requests: DataFrame, rest_ms: int) -> DataFrame:
 
 
 def flashing(switches: DataFrame, asked: DataFrame, ms: int = 1500) -> DataFrame:
-    """asked: session, at.  Whether a switch of the session came at most ``ms`` before."""
-    last = switches.join(asked, "session").where(F.col("ts") <= F.col("at")).groupBy("session", "at").agg(F.max("ts").alias("ts"))
-    return last.select("session", "at", (gap_ms("ts", F.col("at")) < ms).alias("flashing"))
+    """asked: session, at.  Whether a switch of the session came at most ``ms`` before; questions before any switch are left out."""
+    found = last_at_or_before(switches.withColumn("at", F.col("ts")), asked.select("session", "at", F.lit(0).alias("id")).distinct(), "session", "at", "ts")
+    return found.where("found is not null").select("session", "at", (gap_ms("found", F.col("at")) < ms).alias("flashing"))
+
+
+def delivered(entry: dict[str, Column]) -> Column:
+    """What is posted of a cached entry: failed, full, building or preview."""
+    return (
+        F.when(entry["error"], "failed")
+        .when(entry["streamed"], F.when(entry["tiles"], "full").otherwise("building"))
+        .when(entry["whole"] | entry["scalable"], "full")
+        .otherwise("preview")
+    )
 
 
 def wants_job(e: dict[str, Column]) -> Column:

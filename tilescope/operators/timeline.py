@@ -41,16 +41,6 @@ def seek(starts: DataFrame, fraction: float) -> DataFrame:
     return timed.groupBy("image", "target").agg(F.max(F.when(F.col("start") <= F.col("target"), F.col("number"))).alias("number"))
 
 
-def advance(starts: DataFrame, elapsed: DataFrame) -> DataFrame:
-    """elapsed: image, at (ms since the first frame's start).  The frame that shows then, looping: an as-of join.
-
-    The playing position is the remainder by the duration, so a long stall needs no more steps than a short one.
-    """
-    asked = elapsed.join(durations(starts), "image").withColumn("within", F.col("at") % F.col("duration")).drop("duration", "frames")
-    joined = asked.join(starts.select("image", "number", "start", "delay"), "image")
-    return joined.where("start <= within and within < start + delay").select("image", "at", "number", (F.col("start") + F.col("delay") - F.col("within")).alias("left"))
-
-
 def step_frame(number: Column, by: int, n: Column) -> Column:
     """A step wraps both ways."""
     return F.pmod(number + by, n)

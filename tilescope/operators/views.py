@@ -121,6 +121,38 @@ def prefetch_ring(views: DataFrame, tile: int, columns: int, rows: int) -> DataF
     return near.join(visible_tiles(views, tile, columns, rows).select("view", "column", "row"), ["view", "column", "row"], "left_anti")
 
 
+def upload_turns(views: DataFrame, sizes: DataFrame, tile: int, budget: int) -> DataFrame:
+    """views: view, level, x, y, w, h (in pixels of its level); sizes: level, columns, rows.  Tiles in the order in which a frame uploads them.
+
+    Turns: 0 the next coarser level where the wanted tiles (4 bytes a pixel) are beyond the budget, so that no
+    hole shows; 1 what is seen; 2 the ring of one tile around it; 3 the same of the next coarser level.
+    """
+    half = lambda c: F.floor(F.col(c) / 2)
+    coarse = views.select("view", (F.col("level") + 1).alias("level"), half("x").alias("x"), half("y").alias("y"), F.ceil(F.col("w") / 2).alias("w"), F.ceil(F.col("h") / 2).alias("h"))
+    ringed = lambda some: some.withColumns({"x": F.col("x") - tile, "y": F.col("y") - tile, "w": F.col("w") + 2 * tile, "h": F.col("h") + 2 * tile})
+
+    def tiles_of(some: DataFrame) -> DataFrame:
+        first = lambda at: F.greatest(F.floor(F.col(at) / tile), F.lit(0))
+        last = lambda at, side, n: F.least(F.ceil((F.col(at) + F.col(side)) / tile), F.col(n)) - 1
+        spans = some.join(sizes, "level").withColumns({"_c0": first("x"), "_c1": last("x", "w", "columns"), "_r0": first("y"), "_r1": last("y", "h", "rows")}).where("_c0 <= _c1 and _r0 <= _r1")
+        cols = spans.withColumn("column", F.explode(F.sequence("_c0", "_c1")))
+        return cols.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).select("view", *KEY)
+
+    seen = tiles_of(views)
+    crowded = seen.groupBy("view").count().where(F.col("count") * tile * tile * 4 > budget).select("view")
+    parts = (tiles_of(coarse).join(crowded, "view", "left_semi"), seen, tiles_of(ringed(views)), tiles_of(ringed(coarse)))
+    every = None
+    for turn, part in enumerate(parts):
+        part = part.withColumn("turn", F.lit(turn))
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("view", *KEY).agg(F.min("turn").alias("turn"))
+
+
+def keep_warm(warm: DataFrame, keep: DataFrame) -> DataFrame:
+    """Of the images held warm those that are still to be kept: session, image."""
+    return warm.join(keep.select("session", "image").distinct(), ["session", "image"], "left_semi")
+
+
 def units_of_range(ranges: DataFrame, unit_rows: int, height: int) -> DataFrame:
     """ranges: view, y, h.  The strips of ``unit_rows`` rows that each range of rows needs."""
     last = F.least(F.floor((F.col("y") + F.col("h") - 1) / unit_rows), F.lit((height - 1) // unit_rows))

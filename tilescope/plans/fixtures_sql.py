@@ -34,6 +34,6 @@ VIEWS = """views AS (
     (o_orderkey % 900 + 100)::INT AS w, (o_custkey % 700 + 50)::INT AS h FROM orders)"""
 
 HAVE = """have AS (
-  SELECT (l_linenumber - 1)::INT AS level, (l_partkey % ceil(16 / power(2, l_linenumber - 1))::INT)::INT AS "column",
-    (l_suppkey % ceil(12 / power(2, l_linenumber - 1))::INT)::INT AS "row", max(trunc(l_extendedprice)::BIGINT) AS bytes, max(l_orderkey) AS used
-  FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 11 < 4 GROUP BY 1, 2, 3)"""
+  SELECT * FROM (SELECT ((l_linenumber - 1) % 3)::INT AS level, (l_partkey % ceil(16 / power(2, (l_linenumber - 1) % 3))::INT)::INT AS "column",
+    (l_suppkey % ceil(12 / power(2, (l_linenumber - 1) % 3))::INT)::INT AS "row", max(trunc(l_extendedprice)::BIGINT) AS bytes, max(l_orderkey) AS used
+  FROM lineitem GROUP BY 1, 2, 3) WHERE ("column" * 7 + "row" * 3 + level) % 5 < 3)"""

@@ -18,6 +18,7 @@ HEADS = {
     6: "474946383961F401A0000000", 7: "424D0000000000000000000000002800000040060000B0040000", 8: "000001000200", 9: "69636E7300000010", 10: "49492A0008000000", 11: "4D4D002A00000008",
     12: "000000186674797068656963", 13: "255044462D312E37", 14: "3C3F786D6C2076657273696F6E", 15: "3C73766720786D6C6E73", 16: "00000100000000", 17: "", 18: "68656C6C6F",
 }
+NAMES = ("JPEG", "PNG", "WEBP", "JXL", "JXL", "GIF", "BMP", "ICO", "ICNS", "TIFF", "TIFF", "HEIF", "PDF", "SVG", "SVG", None, None, None)
 KINDS = ("Jpeg", "Png", "WebP", "Jxl", "Jxl", "Gif", "Bmp", "Ico", "Icns", "Tiff", "Tiff", "Heif", "Pdf", "Svg", "Svg", "Other", "Other", "Other")
 
 
@@ -32,7 +33,7 @@ def sniff(spark, sf):
     return _blobs(spark, sf).select("id", kind.alias("kind"), B.format_name(kind).alias("name"), (kind != "Other").alias("recognised"))
 
 
-_HEADS_SQL = ", ".join(f"({k}, '{kind}', {('NULL' if kind == 'Other' else repr(B.FORMAT_NAMES[kind]))})" for k, kind in zip(HEADS, KINDS, strict=True))
+_HEADS_SQL = ", ".join(f"({k}, '{kind}', {('NULL' if name is None else repr(name))})" for k, kind, name in zip(HEADS, KINDS, NAMES, strict=True))
 
 
 def header_sizes(spark, sf):
@@ -94,10 +95,11 @@ def xmp_property(spark, sf):
 
 
 _CFG = (
-    (1, '# a comment\r\norder = newest\nwhite = 300\nwhite = 9000\ncache = "/tmp/a b"\n'),
-    (2, "colour = red\n\n  fullscreen =  true \nfullscreen = maybe\nmode=small"),
+    (1, '# a comment\r\nsort = newest\nhdr_white = 300\nhdr_white = 9000\ncache = "/tmp/a b"\n'),
+    (2, "colour = red\n\n  streaming_mode =  on \nstreaming_mode = maybe\ncache_mode=small"),
     (3, ""),
-    (4, "order = az\norder = za\n# order = oldest\npersist = true\nno equals sign"),
+    (4, "sort = a-z\nsort = z-a\n# sort = oldest\npersist_streams = on\nno equals sign"),
+    (5, 'hdr_white = +90\nhdr_white = 50 \nprevent_sleep = "never"\nmemory_mode = a = b\ncache = ""'),
 )
 
 
@@ -117,13 +119,25 @@ def config_missing(spark, sf):
     return G.missing(_cfg(spark))
 
 
+#: What holds by default, and what each file says, written out.
+_PLAIN = {"cache": "", "cache_mode": "fast", "streaming_mode": "off", "persist_streams": "off", "memory_mode": "speed", "sort": "a-z", "prevent_sleep": "fullscreen", "hdr_white": "100"}
 _SET = {
-    1: {"order": "newest", "white": "300", "cache": "/tmp/a b"},
-    2: {"fullscreen": "true", "mode": "small"},
+    1: {"sort": "newest", "hdr_white": "300", "cache": "/tmp/a b"},
+    2: {"streaming_mode": "on", "cache_mode": "small"},
     3: {},
-    4: {"order": "za", "persist": "true"},
+    4: {"sort": "z-a", "persist_streams": "on"},
+    5: {"hdr_white": "50", "prevent_sleep": "never"},
 }
-_SAID = {1: ("order", "white", "cache"), 2: ("colour", "fullscreen", "mode"), 3: (), 4: ("order", "persist", "no equals sign")}
+_SAID = {1: ("sort", "hdr_white", "cache"), 2: ("streaming_mode", "cache_mode"), 3: (), 4: ("sort", "persist_streams"), 5: ("hdr_white", "prevent_sleep", "memory_mode", "cache")}
+_WARNED = (
+    (1, 4, 'hdr_white cannot be "9000"'), (2, 1, 'unknown key "colour"'), (2, 4, 'streaming_mode cannot be "maybe"'), (4, 5, 'expected key = value, found "no equals sign"'),
+    (5, 1, 'hdr_white cannot be "+90"'), (5, 4, 'memory_mode cannot be "a = b"'),
+)
+_ALL_LINES = "".join(f"{k} ={' ' * bool(v)}{v}\n" for k, v in _PLAIN.items())
+
+
+def config_completed(spark, sf):
+    return G.completed(_cfg(spark))
 
 
 def _values(rows, names):
@@ -184,12 +198,18 @@ QUERIES = {
         """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 7 + 0.5 ELSE p_partkey % 7 END::DOUBLE AS r, CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 7 + 0.5 ELSE 2 END::DOUBLE AS g,
         CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 7 + 0.5 ELSE 3.5 END::DOUBLE AS b, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 > 0 THEN p_partkey % 3 END::DOUBLE AS gamma FROM part""",
     ),
-    "config_settings": (config_settings, _values([f"({f}, '{k}', '{s.get(k, d)}')" for f, s in _SET.items() for k, d in G.DEFAULTS.items()], "file, key, value")),
+    "config_settings": (config_settings, _values([f"({f}, '{k}', '{s.get(k, d)}')" for f, s in _SET.items() for k, d in _PLAIN.items()], "file, key, value")),
     "config_warnings": (
         config_warnings,
-        _values(["(1, 4, 'bad value: white')", "(2, 1, 'unknown setting: colour')", "(2, 4, 'bad value: fullscreen')", "(4, 5, 'unknown setting: no equals sign')"], "file, line_no, warning"),
+        _values([f"({f}, {n}, '{w}')" for f, n, w in _WARNED], "file, line_no, warning"),
+    ),
+    "config_completed": (
+        config_completed,
+        "SELECT k AS file, c || CASE WHEN c <> '' AND NOT suffix(c, chr(10)) THEN chr(10) ELSE '' END || a AS content FROM (VALUES "
+        + ", ".join("({}, {}, {})".format(k, *("replace(replace('{}', '~n', chr(10)), '~r', chr(13))".format(t.replace("\r", "~r").replace("\n", "~n")) for t in (c, "".join(x + "\n" for x in _ALL_LINES.splitlines() if x.split(" =")[0] not in _SAID[k])))) for k, c in _CFG)
+        + ") t(k, c, a)",
     ),
-    "config_missing": (config_missing, _values([f"({f}, '{k}', '{d}')" for f, said in _SAID.items() for k, d in G.DEFAULTS.items() if k not in said], "file, key, value")),
+    "config_missing": (config_missing, _values([f"({f}, '{k}', '{d}')" for f, said in _SAID.items() for k, d in _PLAIN.items() if k not in said], "file, key, value")),
     "crc32": (crc32_fold, None),
     "fnv1a": (
         fnv1a,

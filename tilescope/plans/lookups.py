@@ -32,8 +32,8 @@ def identity_blocks(spark, sf):
 def decode_plan(spark, sf):
     kind = F.element_at(F.array(*map(F.lit, ("Jpeg", "Svg", "WebP", "Png", "Jxl"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
     over = F.col("o_totalprice") > 150_000
-    plan = L.decode_plan(kind, F.floor("o_totalprice").cast("long"), F.lit(100), over, F.lit(80_000_000))
-    return X.table(spark, sf, "orders").select("o_orderkey", plan.alias("plan"))
+    plan = L.decode_plan(kind, F.floor("o_totalprice").cast("long"), F.lit(100), F.col("o_custkey") % 2 == 0, over, 80_000_000, (1920, 1080), 8_000_000)
+    return X.table(spark, sf, "orders").select("o_orderkey", plan.alias("p")).select("o_orderkey", "p.*")
 
 
 def same_size_sheets(spark, sf):
@@ -128,8 +128,12 @@ QUERIES = {
     ),
     "decode_plan": (
         decode_plan,
-        """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'preview' WHEN 1 THEN 'filled' WHEN 3 THEN CASE WHEN o_totalprice > 150000 THEN 'forced' ELSE 'capped' END
-        ELSE CASE WHEN o_totalprice <= 150000 THEN 'capped' WHEN floor(o_totalprice) * 400 <= 80000000 THEN 'native' ELSE 'forced' END END AS plan FROM orders""",
+        """WITH t AS (SELECT o_orderkey, o_orderkey % 5 AS k, floor(o_totalprice)::BIGINT AS w, 100 AS h, o_custkey % 2 = 0 AS full_, o_totalprice > 150000 AS over_ FROM orders),
+        p AS (SELECT *, CASE WHEN k = 1 THEN 'filled' WHEN k = 0 AND NOT full_ THEN 'preview' WHEN NOT over_ THEN 'capped' WHEN k IN (2, 4) AND w * 400 <= 80000000 THEN 'native' ELSE 'forced' END AS way,
+          least(1920 / w, 1080 / h) AS g, CASE WHEN w * h > 8000000 THEN sqrt(8000000 / (w * h)::DOUBLE) ELSE 1 END AS c FROM t),
+        s AS (SELECT *, CASE way WHEN 'filled' THEN g WHEN 'preview' THEN least(1, g) ELSE c END AS f FROM p),
+        b AS (SELECT *, greatest(floor(w * f), 1)::INT AS box_w, greatest(floor(h * f), 1)::INT AS box_h FROM s)
+        SELECT o_orderkey, way, box_w, box_h, way = 'forced' AS force, way <> 'preview' AS whole, box_w::BIGINT * box_h * 16 // 3 + CASE WHEN way = 'native' THEN w * h * 4 ELSE 0 END AS estimate FROM b""",
     ),
     "same_size_sheets": (
         same_size_sheets,

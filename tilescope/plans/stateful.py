@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blob as T
 from ..operators import cache as K
-from ..operators import requests as Q
+from ..operators import sessions as L
 from ..sources import fixtures as X
 from ..sources import headers as H
 from ..streaming import requests as S
@@ -18,7 +18,7 @@ def tile_lru(spark, sf):
     log = X.requests(spark, sf).select(
         (F.col("session") % 200).alias("cache"), F.expr("generation * 1000000 + session").alias("seq"), F.col("idx").alias("key"), ((F.col("idx") % 7 + 1) * 1000).alias("bytes"), (F.col("idx") % 10 == 0).alias("pinned")
     )
-    return K.lru_log(log, 12_000)
+    return L.lru_log(log, 12_000)
 
 
 def loader_trim(spark, sf):
@@ -57,7 +57,7 @@ def rle_unpack(spark, sf):
 
 def bmp_rle(spark, sf):
     rows = X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.unhex(F.concat(F.lit("0341"), F.lit("0003424344"), F.lit("00"), F.lit("0000"), F.lit("0545"), F.lit("0001"))).alias("content"))
-    return H.map_bytes(rows, lambda d: H.bmp_rle8(d, 8, 2)).select("id", F.translate(F.decode("content", "UTF-8"), "\0", ".").alias("pixels"))
+    return H.map_bytes(rows, lambda d: H.bmp_rle(d, 8, 2)).select("id", F.translate(F.decode("content", "UTF-8"), "\0", ".").alias("pixels"))
 
 
 def blob_halve(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import sessions as S
 from ..operators import timeline as L
 from ..sources import fixtures as X
 from .fixtures_sql import FR
@@ -32,7 +33,30 @@ def _seek(share):
 
 def advance(spark, sf):
     asked = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image"), F.floor(F.col("o_totalprice")).cast("long").alias("at"))
-    return L.advance(starts(spark, sf), asked)
+    return S.advance(starts(spark, sf), asked.withColumn("k", F.explode(F.array(*map(F.lit, (1, 2, 3, 50))))).select("image", F.expr("at div 400 * k + k").alias("at")))
+
+
+def play_controls(spark, sf):
+    """Ticks, toggles, steps and seeks on each animation, a few seconds apart."""
+    k = F.col("l_orderkey") + F.col("n")
+    what = F.element_at(F.array(*map(F.lit, ("tick", "tick", "toggle", "tick", "seek", "tick", "step", "back"))), (k % 8 + 1).cast("int"))
+    lines = X.table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.count(F.lit(1)) * 3).alias("c")).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("c"))))
+    return S.play(starts(spark, sf), lines.select(F.col("l_orderkey").alias("image"), F.col("n").alias("seq"), (F.col("n") * 190).alias("at"), what.alias("what"), (k % 11 / 8.0).alias("share")))
+
+
+#: The player said again as a recursion over each image's events.
+_ADVANCE = """WITH RECURSIVE {starts}, tl AS (SELECT image, list(delay ORDER BY number) AS ds, sum(delay)::BIGINT AS run, count(*) AS n FROM s GROUP BY image),
+q AS (SELECT o_orderkey AS image, (floor(o_totalprice)::BIGINT // 400 * k + k)::BIGINT AS pos, row_number() OVER (PARTITION BY o_orderkey ORDER BY floor(o_totalprice)::BIGINT // 400 * k + k) AS i FROM orders, (VALUES (1), (2), (3), (50)) v(k)),
+-- one row a step: looks at the clock, and in between each frame that falls due
+r AS (
+  SELECT image, 0 AS i, 0::BIGINT AS pos, 0 AS f, ds[1]::BIGINT AS due, true AS done FROM tl
+  UNION ALL
+  SELECT r.image, CASE WHEN r.done THEN r.i + 1 ELSE r.i END, coalesce(q.pos, r.pos),
+    CASE WHEN r.done THEN r.f ELSE (r.f + 1) % tl.n END::INT,
+    CASE WHEN r.done THEN CASE WHEN q.pos - r.due >= tl.run THEN q.pos ELSE r.due END ELSE r.due + tl.ds[(r.f + 1) % tl.n + 1] END::BIGINT,
+    CASE WHEN r.done THEN q.pos < r.due ELSE r.pos < r.due + tl.ds[(r.f + 1) % tl.n + 1] END
+  FROM r JOIN tl ON tl.image = r.image LEFT JOIN q ON r.done AND q.image = r.image AND q.i = r.i + 1 WHERE NOT r.done OR q.i IS NOT NULL)
+SELECT image, pos AS "at", f AS number, due - pos AS "left" FROM r WHERE done AND i > 0"""
 
 
 def step_wrap(spark, sf):
@@ -64,11 +88,8 @@ QUERIES = {
     "duration": (duration, f"WITH {_DELAYED} SELECT image, sum(delay)::BIGINT AS duration, count(*) AS frames FROM d GROUP BY image"),
     "seek": (_seek(0.5), f"WITH {_STARTS} {_SEEK.format(f='0.5::DOUBLE')}"),
     "seek_end": (_seek(7.0), f"WITH {_STARTS} {_SEEK.format(f='1')}"),
-    "advance": (
-        advance,
-        f"""WITH {_STARTS}, q AS (SELECT o_orderkey AS image, floor(o_totalprice)::BIGINT AS at FROM orders)
-        SELECT q.image, q.at, s.number, s.start + s.delay - q.at % s.duration AS "left" FROM q JOIN s ON s.image = q.image AND s.start <= q.at % s.duration AND q.at % s.duration < s.start + s.delay""".replace("q.at", 'q."at"').replace("AS at ", 'AS "at" '),
-    ),
+    "advance": (advance, _ADVANCE.format(starts=_STARTS)),
+    "play_controls": (play_controls, None),
     "step_wrap": (step_wrap, f"WITH {_STARTS} SELECT image, number, CASE WHEN number = n - 1 THEN 0 ELSE number + 1 END::BIGINT AS after, CASE WHEN number = 0 THEN n - 1 ELSE number - 1 END AS before FROM s"),
     "frame_shrink": (
         frame_shrink,

@@ -104,7 +104,7 @@ def fit_box(spark, sf):
     cw, ch = G.capped(w, h, 8_000_000)
     return size.select(
         "p_partkey", fw.alias("fit_w"), fh.alias("fit_h"), gw.alias("fill_w"), gh.alias("fill_h"), cw.alias("cap_w"), ch.alias("cap_h"),
-        G.shrink_factor(w, h, 1920, 1080).alias("factor"), G.jpeg_scale(w, h, 1920, 1080).alias("eighths"), G.cell_side(F.least(w, F.lit(2000)), F.least(h, F.lit(2000))).alias("cell"),
+        G.shrink_factor(w, h, 1920, 1080).alias("factor"), G.jpeg_scale(w, h, fw, fh, F.lit(1), F.lit(False)).alias("eighths"), G.cell_side(F.least(w, F.lit(2000)), F.least(h, F.lit(2000))).alias("cell"),
         G.scaled_rows(h, F.lit(3)).alias("rows"),
     )
 
@@ -120,7 +120,46 @@ SELECT p_partkey, fit_w, fit_h, greatest(floor(w * g), 1)::INT AS fill_w, greate
 
 def restart_layout(spark, sf):
     part = X.table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 37 % 9000 + 16).alias("w"), (F.col("p_partkey") * 91 % 7000 + 16).alias("h"), (F.col("p_size") * 3).cast("long").alias("interval"))
-    return part.select("p_partkey", G.restart_layout(F.col("w"), F.col("h"), F.col("interval"), 16).alias("s")).select("p_partkey", "s.*")
+    k = F.col("p_partkey")
+    found = G.restart_layout(F.col("w"), F.col("h"), F.col("interval"), k % 2 + 1, k % 3 % 2 + 1, F.when(k % 5 == 0, 1).otherwise(3), k % 3 == 1)
+    return part.select("p_partkey", found.alias("s")).select("p_partkey", "s.*")
+
+
+def jpeg_scale(spark, sf):
+    """Cheap and forced, upright and turned, over boxes of several sizes."""
+    k = F.col("p_partkey")
+    w, h, bw, bh = (k * 37 % 9000 + 1).cast("int"), (k * 91 % 7000 + 1).cast("int"), (k * 13 % 3000 + 1).cast("int"), (k * 29 % 2000 + 1).cast("int")
+    turn = (k % 8 + 1).cast("int")
+    return X.table(spark, sf, "part").select("p_partkey", *[G.jpeg_scale(w, h, bw, bh, turn, F.lit(f)).alias(n) for n, f in (("cheap", False), ("forced", True))])
+
+
+_SCALE = """WITH t AS (SELECT p_partkey, p_partkey * 37 % 9000 + 1 AS w, p_partkey * 91 % 7000 + 1 AS h, p_partkey * 13 % 3000 + 1 AS u, p_partkey * 29 % 2000 + 1 AS v, p_partkey % 8 >= 4 AS swapped FROM part),
+b AS (SELECT p_partkey, w, h, CASE WHEN swapped THEN v ELSE u END AS bw, CASE WHEN swapped THEN u ELSE v END AS bh FROM t)
+SELECT p_partkey, coalesce((SELECT min(n) FROM (VALUES (1), (2), (4), (8)) q(n) WHERE (w * n + 7) // 8 >= bw AND (h * n + 7) // 8 >= bh), 8)::INT AS cheap,
+  coalesce((SELECT max(n) FROM (VALUES (1), (2), (4), (8)) q(n) WHERE (w * n + 7) // 8 <= bw AND (h * n + 7) // 8 <= bh), 1)::INT AS forced FROM b"""
+
+
+def refine_request(spark, sf):
+    """A part on screen of an image that lies shifted and zoomed, upright and turned by a quarter."""
+    k = F.col("o_orderkey")
+    zoom = (k % 7 + 1) / 2.0
+    w, h = (k % 900 + 50).cast("double"), (F.col("o_custkey") % 700 + 50).cast("double")
+    out = None
+    for name, turn in (("upright", (False, 0)), ("turned", (False, 1))):
+        sides = (w, h) if name == "upright" else (h, w)
+        image = {"x": (k % 500 - 400).cast("double"), "y": (k % 300 - 250).cast("double"), "w": w * zoom, "h": h * zoom}
+        part = X.table(spark, sf, "orders").select("o_orderkey", F.lit(name).alias("way"), G.refine_request(image, (F.lit(800.0), F.lit(600.0)), sides, zoom, turn).alias("r"))
+        out = part if out is None else out.unionByName(part)
+    return out.select("o_orderkey", "way", "r.*")
+
+
+_REFINE = """WITH t AS (SELECT o_orderkey, (o_orderkey % 7 + 1) / 2.0::DOUBLE AS z, (o_orderkey % 900 + 50)::DOUBLE AS w, (o_custkey % 700 + 50)::DOUBLE AS h, (o_orderkey % 500 - 400)::DOUBLE AS ix, (o_orderkey % 300 - 250)::DOUBLE AS iy FROM orders),
+s AS (SELECT *, greatest(ix, 0) - 200 AS l, greatest(iy, 0) - 150 AS u, least(ix + w * z, 800) + 200 AS r, least(iy + h * z, 600) + 150 AS d, least(ix + w * z, 800) > greatest(ix, 0) AND least(iy + h * z, 600) > greatest(iy, 0) AS seen FROM t),
+n AS (SELECT *, greatest(0, least(1, (l - ix) / (w * z))) AS x0, greatest(0, least(1, (r - ix) / (w * z))) AS x1, greatest(0, least(1, (u - iy) / (h * z))) AS y0, greatest(0, least(1, (d - iy) / (h * z))) AS y1 FROM s),
+q AS (SELECT o_orderkey, 'upright' AS way, seen, x0 AS a, y0 AS b, x1 - x0 AS c, y1 - y0 AS e, w * z AS sw, h * z AS sh FROM n
+  UNION ALL SELECT o_orderkey, 'turned', seen, least(1 - y0, 1 - (y0 + (y1 - y0))), least(x0, x0 + (x1 - x0)), abs((1 - (y0 + (y1 - y0))) - (1 - y0)), abs(x0 + (x1 - x0) - x0), h * z, w * z FROM n),
+f AS (SELECT *, floor(a * sw)::INT AS x, floor(b * sh)::INT AS y FROM q)
+SELECT o_orderkey, way, CASE WHEN seen THEN x END AS x, CASE WHEN seen THEN y END AS y, CASE WHEN seen THEN ceil((a + c) * sw)::INT - x END AS width, CASE WHEN seen THEN ceil((b + e) * sh)::INT - y END AS height FROM f"""
 
 
 def budgets(spark, sf):
@@ -196,9 +235,14 @@ QUERIES = {
     "fit_box": (fit_box, _FIT),
     "restart_layout": (
         restart_layout,
-        """WITH t AS (SELECT p_partkey, ceil((p_partkey * 37 % 9000 + 16) / 16)::BIGINT AS per, ceil((p_partkey * 91 % 7000 + 16) / 16)::BIGINT AS n, (p_size * 3)::BIGINT AS i FROM part)
-        SELECT p_partkey, i // gcd(i, per) * 16 AS step_rows, i // gcd(i, per) * per // i AS step_intervals, ceil(per * n / i)::BIGINT AS intervals FROM t""",
+        """WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE (p_partkey % 2 + 1) * 8 END AS mw, CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE (p_partkey % 3 % 2 + 1) * 8 END AS mh FROM part),
+        t AS (SELECT p_partkey, mh, ceil((p_partkey * 37 % 9000 + 16) / mw)::BIGINT AS per, ceil((p_partkey * 91 % 7000 + 16) / mh)::BIGINT AS n, (p_size * 3)::BIGINT AS i FROM part JOIN s USING (p_partkey)),
+        u AS (SELECT *, i // gcd(i, per) AS k FROM t), v AS (SELECT *, i > 0 AND k * mh <= 1024 AS ok FROM u)
+        SELECT p_partkey, CASE WHEN ok THEN k * mh END AS step_rows, CASE WHEN ok THEN k * per // i END AS step_intervals, CASE WHEN ok THEN ceil(per * n / i)::BIGINT END AS intervals,
+          CASE WHEN ok THEN ceil(n / k)::BIGINT END AS steps, CASE WHEN ok THEN CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 = 1 THEN 1 ELSE 0 END END AS margin FROM v""",
     ),
+    "jpeg_scale": (jpeg_scale, _SCALE),
+    "refine_request": (refine_request, _REFINE),
     "budgets": (
         budgets,
         """WITH t AS (SELECT o_orderkey, floor(o_totalprice * 100000)::BIGINT AS raw FROM orders)
@@ -212,7 +256,7 @@ QUERIES = {
     ),
     "kinds": (
         kinds,
-        """SELECT * FROM (VALUES ('Jpeg', 'JPEG', true, false, true), ('Png', 'PNG', false, false, true), ('WebP', 'WebP', false, false, true), ('Jxl', 'JPEG XL', false, false, false),
+        """SELECT * FROM (VALUES ('Jpeg', 'JPEG', true, false, true), ('Png', 'PNG', false, false, true), ('WebP', 'WEBP', false, false, true), ('Jxl', 'JXL', false, false, false),
         ('Gif', 'GIF', false, false, false), ('Bmp', 'BMP', false, false, false), ('Ico', 'ICO', false, false, false), ('Icns', 'ICNS', false, false, false), ('Tiff', 'TIFF', false, false, true),
         ('Heif', 'HEIF', false, false, false), ('Svg', 'SVG', true, true, false), ('Pdf', 'PDF', true, true, false), ('Other', NULL, false, false, false)) t(kind, name, cheap, free, saves)""",
     ),

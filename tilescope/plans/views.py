@@ -36,7 +36,7 @@ def tiles_by_distance(spark, sf):
 
 def want_64(spark, sf):
     ranked = V.by_distance(visible(spark, sf), TILE)
-    return V.want(ranked.unionByName(ranked.withColumn("place", F.col("place") + 100)), COLUMNS, ROWS, 8)
+    return V.want(ranked.unionByName(ranked.withColumn("place", F.col("place") + 100)), COLUMNS, ROWS, 64)
 
 
 def missing_tiles(spark, sf):
@@ -108,7 +108,7 @@ _OVERLAP = """i AS (SELECT *, ix0 < ix1 AND iy0 < iy1 AS meets FROM (
 QUERIES = {
     "visible_tiles": (visible_tiles, f"WITH {VIEWS}, {_VISIBLE} SELECT * FROM vis"),
     "tiles_by_distance": (tiles_by_distance, f'WITH {VIEWS}, {_VISIBLE}, {_RANKED} SELECT view, "column", "row", d2, place::INT AS place FROM ranked'),
-    "want_64": (want_64, f'WITH {VIEWS}, {_VISIBLE}, {_RANKED} SELECT view, "column", "row", place::INT AS place, place::INT AS turn FROM ranked WHERE place <= 8'),
+    "want_64": (want_64, f'WITH {VIEWS}, {_VISIBLE}, {_RANKED} SELECT view, "column", "row", place::INT AS place, place::INT AS turn FROM ranked WHERE place <= 64'),
     "missing_tiles": (
         missing_tiles,
         f'WITH {VIEWS}, {_VISIBLE}, {HAVE}, {_WANTED} SELECT w.* FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.level = 0 AND h."column" = w."column" AND h."row" = w."row")',

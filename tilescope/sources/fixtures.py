@@ -110,9 +110,11 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resident(spark: SparkSession, sf_dir: str) -> DataFrame:
     """have(level, column, row, bytes, used): tiles that are there, with the stamp of their last use."""
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3 and l_orderkey % 11 < 4")
-    level = F.col("l_linenumber") - 1
-    side = lambda n: F.expr(f"int(ceil({n} / power(2, l_linenumber - 1)))")
-    return line.groupBy(
+    line = table(spark, sf_dir, "lineitem")
+    level = (F.col("l_linenumber") - 1) % 3
+    side = lambda n: F.expr(f"int(ceil({n} / power(2, (l_linenumber - 1) % 3)))")
+    tiles = line.groupBy(
         level.cast("int").alias("level"), (F.col("l_partkey") % side(16)).cast("int").alias("column"), (F.col("l_suppkey") % side(12)).cast("int").alias("row")
     ).agg(F.max((F.col("l_extendedprice")).cast("long")).alias("bytes"), F.max("l_orderkey").alias("used"))
+    # every line counts; which tiles are there is a matter of their places
+    return tiles.where("(column * 7 + row * 3 + level) % 5 < 3")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 def exif_orientation(data: bytes) -> int:
     """Tag 0x0112 of the first directory; anything out of range is 1."""
-    if data[:6] == b"Exif\0\0":
+    if data[:4] == b"Exif" and len(data) >= 6:
         data = data[6:]
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
@@ -35,15 +35,16 @@ def exif_orientation(data: bytes) -> int:
 
 
 def jpeg_segments(data: bytes) -> Iterator[tuple[str, int, int]]:
-    """(marker, offset of its content, length) up to the start of scan."""
-    at = 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
-        marker, length = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        if length < 2:
-            return
-        yield f"{marker:02X}", at + 4, length - 2
-        if marker == 0xDA:
+    """(marker, offset of its content, length) of the segments before the scan that fit; fill bytes are passed."""
+    at = 2 if data[:2] == b"\xff\xd8" else len(data)
+    while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
+        if data[at + 1] == 0xFF:
+            at += 1
+            continue
+        length = struct.unpack_from(">H", data, at + 2)[0]
+        if length < 2 or at + 2 + length > len(data):
             return
+        yield f"{data[at + 1]:02X}", at + 4, length - 2
         at += 2 + length
 
 
@@ -83,8 +84,8 @@ def ico_entries(data: bytes) -> Iterator[tuple[str, int, int]]:
         yield f"{w or 256}x{h or 256}x{bits}", offset, length
 
 
-def iso_boxes(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
-    """Boxes of an ISO media file at one depth; containers of metadata are walked too."""
+def iso_boxes_flat(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """Boxes one after the other, up to the first that does not fit: (kind, offset of its content, length)."""
     end = len(data) if end is None else end
     while at + 8 <= end:
         size, kind, head = struct.unpack_from(">I", data, at)[0], data[at + 4 : at + 8].decode("latin-1"), 8
@@ -94,11 +95,17 @@ def iso_boxes(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tupl
         if size < head or at + size > end:
             return
         yield kind, at + head, size - head
-        if kind in ("meta", "iprp", "ipco"):
-            yield from iso_boxes(data, at + head + (4 if kind == "meta" else 0), at + size)
         at += size
 
 
+def iso_boxes(data: bytes, at: int = 0, end: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """The same, with what is in the containers of metadata behind each of them."""
+    for kind, start, size in iso_boxes_flat(data, at, end):
+        yield kind, start, size
+        if kind in ("meta", "iprp", "ipco"):
+            yield from iso_boxes(data, start + (4 if kind == "meta" else 0), start + size)
+
+
 WALKS: dict[str, Callable[[bytes], Iterator[tuple[str, int, int]]]] = {
     "jpeg": jpeg_segments, "png": png_chunks, "riff": riff_chunks, "icns": icns_chunks, "ico": ico_entries, "iso": iso_boxes,
 }
@@ -137,26 +144,36 @@ def unpack_runs(data: bytes) -> bytes:
     return bytes(out)
 
 
-def bmp_rle8(data: bytes, width: int, height: int) -> bytes:
-    """Run-length rows of a BMP, bottom row first; what is skipped stays 0."""
+def bmp_rle(data: bytes, width: int, height: int, nibbles: bool = False) -> bytes:
+    """Run-length rows of a BMP as palette entries, bottom row first; what is skipped stays 0.  ``nibbles``: two pixels a byte."""
     out, x, y, at = bytearray(width * height), 0, 0, 0
+
+    def put(values: bytes) -> None:
+        nonlocal x
+        part = values[: max(0, width - x)]
+        out[y * width + x : y * width + x + len(part)] = part
+        x += len(part)
+
+    halves = lambda some: bytes(v for b in some for v in (b >> 4, b & 15))
     while at + 1 < len(data) and y < height:
         n, v = data[at], data[at + 1]
         at += 2
         if n:
-            n = min(n, width - x)
-            out[y * width + x : y * width + x + n] = bytes([v]) * n
-            x += n
+            put((halves([v]) * 128)[:n] if nibbles else bytes([v]) * n)
         elif v == 0:
             x, y = 0, y + 1
         elif v == 1:
             break
         elif v == 2:
-            x, y, at = x + data[at], y + data[at + 1], at + 2
+            if at + 2 > len(data):
+                break
+            x, y, at = min(x + data[at], width), y + data[at + 1], at + 2
         else:
-            part = data[at : at + min(v, width - x)]
-            out[y * width + x : y * width + x + len(part)] = part
-            x, at = x + len(part), at + v + (v & 1)
+            size = (v + 1) // 2 if nibbles else v
+            if at + size > len(data):
+                break
+            put(halves(data[at : at + size])[:v] if nibbles else data[at : at + size])
+            at += size + size % 2
     return bytes(out)
 
 
