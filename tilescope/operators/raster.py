@@ -6,6 +6,7 @@ tasks by (image, block) and no task ever needs a whole image.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,28 @@ def half_size(size: DataFrame) -> DataFrame:
     return size.select("image", F.expr("int((w + 1) div 2)").alias("w"), F.expr("int((h + 1) div 2)").alias("h"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the folder that executors share, and read from there: its plan is not run again, its lineage is cut."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tilescope-"))
+    return df.checkpoint()
+
+
 def pyramid(px: DataFrame, levels: int, channels: Sequence[str] = RGBA) -> DataFrame:
-    """Level 0 and ``levels - 1`` halvings, each of the one before (rounding differs from halving level 0 at once)."""
-    size, level = dims(px), px.select("image", "x", "y", *channels)
+    """Level 0 and ``levels - 1`` halvings, each of the one before (rounding differs from halving level 0 at once).
+
+    A level that another is made of is checkpointed, so that none is made twice; the sides are made of the images' own.
+    """
+    size, level = checkpointed(dims(px)), px.select("image", "x", "y", *channels)
     out = level.withColumn("level", F.lit(0))
     for k in range(1, levels):
         level, size = halve(level, size, channels), half_size(size)
+        if k + 1 < levels:
+            level = checkpointed(level)
         out = out.unionByName(level.withColumn("level", F.lit(k)))
     return out
 

@@ -70,19 +70,32 @@ def part(spark, sf) -> DataFrame:
 #: The same in SQL; ``o`` out of 1 to 8 counts as 1.
 _PART = "p AS (SELECT p_partkey AS k, p_partkey % 9000 + 1 AS w, p_size * 7 + p_partkey % 5 AS h, p_partkey % 9 AS o FROM part)"
 _TURN = "CASE WHEN turn >= 5 THEN h ELSE w END::INT AS width, CASE WHEN turn >= 5 THEN w ELSE h END::INT AS height, turn::INT AS orientation"
-K, W, H, O = (F.col(c) for c in ("k", "w", "h", "o"))  # noqa: E741
+def k_() -> Column:
+    return F.col("k")
+
+
+def w_() -> Column:
+    return F.col("w")
+
+
+def h_() -> Column:
+    return F.col("h")
+
+
+def o_() -> Column:
+    return F.col("o")
 
 
 def files(rows: DataFrame, kind: str, digits: Column, *more: str) -> DataFrame:
-    return rows.select(K.alias("id"), F.lit(kind).alias("kind"), F.unhex(digits).alias("content"), *more)
+    return rows.select(k_().alias("id"), F.lit(kind).alias("kind"), F.unhex(digits).alias("content"), *more)
 
 
 def png_file() -> Column:
     """eXIf in every third file, cICP of several transfers in others; a chunk behind the image data does not count."""
-    header = png_chunk("IHDR", F.concat(be(W, 4), be(H, 4), F.lit("0806000000")))
-    transfer = F.element_at(F.array(*map(F.lit, (1, 16, 18, 8))), (K % 4 + 1).cast("int"))
-    early = F.concat(when(K % 3 == 0, png_chunk("eXIf", tiff(O))), when(K % 5 == 0, png_chunk("cICP", F.concat(be(9, 1), be(transfer, 1), F.lit("0001")))))
-    return F.concat(text(P.PNG_MAGIC), header, early, png_chunk("IDAT", text("data")), when(K % 3 == 1, png_chunk("eXIf", tiff(O))), png_chunk("IEND", F.lit("")))
+    header = png_chunk("IHDR", F.concat(be(w_(), 4), be(h_(), 4), F.lit("0806000000")))
+    transfer = F.element_at(F.array(*map(F.lit, (1, 16, 18, 8))), (k_() % 4 + 1).cast("int"))
+    early = F.concat(when(k_() % 3 == 0, png_chunk("eXIf", tiff(o_()))), when(k_() % 5 == 0, png_chunk("cICP", F.concat(be(9, 1), be(transfer, 1), F.lit("0001")))))
+    return F.concat(text(P.PNG_MAGIC), header, early, png_chunk("IDAT", text("data")), when(k_() % 3 == 1, png_chunk("eXIf", tiff(o_()))), png_chunk("IEND", F.lit("")))
 
 
 def probe_png(spark, sf):
@@ -91,11 +104,11 @@ def probe_png(spark, sf):
 
 def jpeg_file() -> Column:
     """JFIF, XMP before Exif in APP1, fill bytes, baseline or progressive."""
-    exif = segment(0xE1, F.concat(text("Exif\0\0"), F.when(K % 2 == 0, tiff(O)).otherwise(tiff(O, "MM"))))
-    frame = lambda marker: segment(marker, F.concat(F.lit("08"), be(H, 2), be(W, 2), F.lit("03"), F.lit("012200021101031101")))
-    sized = F.when(K % 4 == 1, frame(0xC2)).otherwise(frame(0xC0))
+    exif = segment(0xE1, F.concat(text("Exif\0\0"), F.when(k_() % 2 == 0, tiff(o_())).otherwise(tiff(o_(), "MM"))))
+    frame = lambda marker: segment(marker, F.concat(F.lit("08"), be(h_(), 2), be(w_(), 2), F.lit("03"), F.lit("012200021101031101")))
+    sized = F.when(k_() % 4 == 1, frame(0xC2)).otherwise(frame(0xC0))
     return F.concat(
-        F.lit("FFD8"), segment(0xE0, text("JFIF\0\1\1")), when(K % 5 == 0, segment(0xE1, text(P.XMP_HEAD + b"<x/>"))), when(K % 3 == 0, exif), when(K % 7 == 0, F.lit("FFFF")),
+        F.lit("FFD8"), segment(0xE0, text("JFIF\0\1\1")), when(k_() % 5 == 0, segment(0xE1, text(P.XMP_HEAD + b"<x/>"))), when(k_() % 3 == 0, exif), when(k_() % 7 == 0, F.lit("FFFF")),
         segment(0xC4, zeros(4)), sized, segment(0xDA, F.lit("03010002110311003F00")), text("scan"), F.lit("FFD9"),
     )
 
@@ -106,11 +119,11 @@ def probe_jpeg(spark, sf):
 
 def webp_file() -> Column:
     """Extended (with an animation in some), lossy and lossless files; EXIF behind the image."""
-    flags = F.when(K % 10 == 0, 2).otherwise(0) + F.when(O > 0, 8).otherwise(0)
-    extended = F.concat(riff_chunk("VP8X", F.concat(be(flags, 1), zeros(3), le(W - 1, 3), le(H - 1, 3))), riff_chunk("VP8L", text("imag")), when(O > 0, riff_chunk("EXIF", tiff(O))))
-    lossy = riff_chunk("VP8 ", F.concat(zeros(3), F.lit("9D012A"), le(W, 2), le(H, 2), text("odd")))
-    lossless = riff_chunk("VP8L", F.concat(F.lit("2F"), le((W - 1) + (H - 1) * (1 << 14) + F.when(K % 2 == 0, 1 << 28).otherwise(0), 4), text("data")))
-    body = F.concat(text("WEBP"), F.when(K % 5 < 3, extended).when(K % 5 == 3, lossy).otherwise(lossless))
+    flags = F.when(k_() % 10 == 0, 2).otherwise(0) + F.when(o_() > 0, 8).otherwise(0)
+    extended = F.concat(riff_chunk("VP8X", F.concat(be(flags, 1), zeros(3), le(w_() - 1, 3), le(h_() - 1, 3))), riff_chunk("VP8L", text("imag")), when(o_() > 0, riff_chunk("EXIF", tiff(o_()))))
+    lossy = riff_chunk("VP8 ", F.concat(zeros(3), F.lit("9D012A"), le(w_(), 2), le(h_(), 2), text("odd")))
+    lossless = riff_chunk("VP8L", F.concat(F.lit("2F"), le((w_() - 1) + (h_() - 1) * (1 << 14) + F.when(k_() % 2 == 0, 1 << 28).otherwise(0), 4), text("data")))
+    body = F.concat(text("WEBP"), F.when(k_() % 5 < 3, extended).when(k_() % 5 == 3, lossy).otherwise(lossless))
     return F.concat(text("RIFF"), le(half_length(body), 4), body)
 
 
@@ -127,15 +140,15 @@ def jxl_bits(*fields: tuple[Column | int, int]) -> Column:
 
 def jxl_file() -> Column:
     """Sides by a ratio or in full, bare or in a box; orientation and a transfer in half of the files, a gain map in a few."""
-    eight = K % 32
-    ratio = K % 7 + 1
+    eight = k_() % 32
+    ratio = k_() % 7 + 1
     plain = jxl_bits((1, 1), (eight, 5), (ratio, 3), (1, 1))
     said = jxl_bits(
-        (0, 1), (1, 2), (H + 99, 13), (0, 3), (1, 2), (W - 1, 13), (0, 1), (1, 1), (F.greatest(O, F.lit(1)) - 1, 3), (0, 3), (0, 3), (1, 1), (0, 2), (1, 1), (0, 2), (0, 2), (1, 2), (1, 2), (0, 1), (2, 2), (K % 3 + 13, 4)
+        (0, 1), (1, 2), (h_() + 99, 13), (0, 3), (1, 2), (w_() - 1, 13), (0, 1), (1, 1), (F.greatest(o_(), F.lit(1)) - 1, 3), (0, 3), (0, 3), (1, 1), (0, 2), (1, 1), (0, 2), (0, 2), (1, 2), (1, 2), (0, 1), (2, 2), (k_() % 3 + 13, 4)
     )
-    stream = F.concat(F.lit("FF0A"), F.when(K % 2 == 0, plain).otherwise(said))
-    boxed = F.concat(text(b"\0\0\0\x0cJXL \r\n\x87\n"), when(K % 9 == 0, box("jhgm", zeros(4))), box("jxlc", stream))
-    return F.when(K % 3 == 0, boxed).otherwise(stream)
+    stream = F.concat(F.lit("FF0A"), F.when(k_() % 2 == 0, plain).otherwise(said))
+    boxed = F.concat(text(b"\0\0\0\x0cJXL \r\n\x87\n"), when(k_() % 9 == 0, box("jhgm", zeros(4))), box("jxlc", stream))
+    return F.when(k_() % 3 == 0, boxed).otherwise(stream)
 
 
 def probe_jxl(spark, sf):
@@ -144,13 +157,13 @@ def probe_jxl(spark, sf):
 
 def bmp_file() -> Column:
     """Core and full headers of several depths, bottom up and top down, bit masks, run lengths; some that make no sense."""
-    depth = F.element_at(F.array(*map(F.lit, (1, 4, 8, 16, 24, 32))), (K % 6 + 1).cast("int"))
-    core = F.concat(le(12, 4), le(W, 2), le(H, 2), le(1, 2), le(depth, 2))
-    high = F.when(K % 4 == 1, F.lit(1 << 32) - H).otherwise(H)
-    scheme = F.when((K % 5 == 2) & depth.isin(16, 32), 3).when((K % 5 == 3) & (depth == 8), 1).when((K % 5 == 3) & (depth == 4), 2).otherwise(0)
-    info = F.concat(le(40, 4), le(W, 4), le(high, 4), le(1, 2), le(depth, 2), le(scheme, 4), zeros(12), le(K % 3, 4), zeros(4))
+    depth = F.element_at(F.array(*map(F.lit, (1, 4, 8, 16, 24, 32))), (k_() % 6 + 1).cast("int"))
+    core = F.concat(le(12, 4), le(w_(), 2), le(h_(), 2), le(1, 2), le(depth, 2))
+    high = F.when(k_() % 4 == 1, F.lit(1 << 32) - h_()).otherwise(h_())
+    scheme = F.when((k_() % 5 == 2) & depth.isin(16, 32), 3).when((k_() % 5 == 3) & (depth == 8), 1).when((k_() % 5 == 3) & (depth == 4), 2).otherwise(0)
+    info = F.concat(le(40, 4), le(w_(), 4), le(high, 4), le(1, 2), le(depth, 2), le(scheme, 4), zeros(12), le(k_() % 3, 4), zeros(4))
     masks = when(scheme == 3, F.concat(le(0xF800, 4), le(0x7E0, 4), le(0x1F, 4)))
-    head = F.when(K % 7 == 0, core).otherwise(F.concat(info, masks))
+    head = F.when(k_() % 7 == 0, core).otherwise(F.concat(info, masks))
     return F.concat(text("BM"), zeros(8), le(0, 4), head, zeros(1100))
 
 
@@ -173,8 +186,8 @@ SELECT k AS id, w::INT AS width, h::INT AS height, NOT down AS bottom_up, depth:
 
 def ico_file() -> Column:
     """Three entries: a bitmap whose height counts its mask, a PNG, and one that reaches past the end."""
-    dib = F.concat(le(40, 4), le(K % 60 + 1, 4), le((K % 50 + 1) * 2, 4), le(1, 2), le(24, 2), zeros(24))
-    png = F.concat(text(P.PNG_MAGIC), zeros(8), be(K % 40 + 10, 4), be(K % 40 + 10, 4))
+    dib = F.concat(le(40, 4), le(k_() % 60 + 1, 4), le((k_() % 50 + 1) * 2, 4), le(1, 2), le(24, 2), zeros(24))
+    png = F.concat(text(P.PNG_MAGIC), zeros(8), be(k_() % 40 + 10, 4), be(k_() % 40 + 10, 4))
     entry = lambda size, at: F.concat(zeros(8), le(size, 4), le(at, 4))
     return F.concat(F.lit("000001000300"), entry(40, 54), entry(24, 94), entry(99, 94), dib, png)
 
@@ -186,10 +199,10 @@ def icon_ico(spark, sf):
 def icns_file() -> Column:
     """A packed icon with two masks, a larger PNG in some files, an entry that is neither; chunks past the end are not read."""
     chunk = lambda name, body: F.concat(text(name), be(half_length(body) + 8, 4), body)
-    png = F.concat(text(P.PNG_MAGIC), zeros(8), be(K % 100 + 1, 4), be(K % 100 + 1, 4))
-    packed = F.when(K % 2 == 0, chunk("il32", text("packed pixels"))).otherwise(chunk("it32", text("\0\0\0\0planes")))
-    mask = F.when(K % 2 == 0, F.concat(chunk("l8mk", text("mm")), chunk("l8mk", text("mask")))).otherwise("")
-    body = F.concat(chunk("TOC ", zeros(2)), packed, chunk("ic07", text("neither")), when(K % 3 == 0, chunk("ic08", png)), mask)
+    png = F.concat(text(P.PNG_MAGIC), zeros(8), be(k_() % 100 + 1, 4), be(k_() % 100 + 1, 4))
+    packed = F.when(k_() % 2 == 0, chunk("il32", text("packed pixels"))).otherwise(chunk("it32", text("\0\0\0\0planes")))
+    mask = F.when(k_() % 2 == 0, F.concat(chunk("l8mk", text("mm")), chunk("l8mk", text("mask")))).otherwise("")
+    body = F.concat(chunk("TOC ", zeros(2)), packed, chunk("ic07", text("neither")), when(k_() % 3 == 0, chunk("ic08", png)), mask)
     return F.concat(text("icns"), be(half_length(body) + 8, 4), body, text("ic09"), be(4000, 4))
 
 
@@ -199,18 +212,18 @@ def icon_icns(spark, sf):
 
 def heif_file() -> Column:
     """The primary item's colour property, another item's, and a gain map by an item or by an auxiliary property."""
-    transfer = F.element_at(F.array(*map(F.lit, (1, 16, 18, 8))), (K % 4 + 1).cast("int"))
+    transfer = F.element_at(F.array(*map(F.lit, (1, 16, 18, 8))), (k_() % 4 + 1).cast("int"))
     colour = lambda t: box("colr", F.concat(text("nclx"), be(9, 2), be(t, 2), be(9, 2), F.lit("80")))
-    size = box("ispe", F.concat(zeros(4), be(W, 4), be(H, 4)))
-    held = F.concat(size, colour(F.lit(16)), colour(transfer), when(K % 5 == 0, box("auxC", F.concat(zeros(4), text(P.APPLE_GAIN_MAP + b"\0")))))
-    wide = K % 2 == 0  # identifiers of 32 bits, numbers of 15
+    size = box("ispe", F.concat(zeros(4), be(w_(), 4), be(h_(), 4)))
+    held = F.concat(size, colour(F.lit(16)), colour(transfer), when(k_() % 5 == 0, box("auxC", F.concat(zeros(4), text(P.APPLE_GAIN_MAP + b"\0")))))
+    wide = k_() % 2 == 0  # identifiers of 32 bits, numbers of 15
     links = F.when(wide, F.concat(F.lit("01000001"), be(2, 4), be(7, 4), F.lit("01"), be(0x8002, 2), be(9, 4), F.lit("02"), be(1, 2), be(0x8003, 2)))
     links = links.otherwise(F.concat(F.lit("00000000"), be(2, 4), be(7, 2), F.lit("01"), be(0x82, 1), be(9, 2), F.lit("02"), be(1, 1), be(0x83, 1)))
     primary = F.when(wide, F.concat(F.lit("01000000"), be(9, 4))).otherwise(F.concat(zeros(4), be(9, 2)))
     item = lambda name: box("infe", F.concat(F.lit("02000000"), be(5, 2), zeros(2), text(name)))
-    items = F.concat(zeros(4), be(2, 2), item("hvc1"), F.when(K % 7 == 0, item("tmap")).otherwise(item("Exif")))
+    items = F.concat(zeros(4), be(2, 2), item("hvc1"), F.when(k_() % 7 == 0, item("tmap")).otherwise(item("Exif")))
     meta = F.concat(zeros(4), box("pitm", primary), box("iinf", items), box("iprp", F.concat(box("ipco", held), box("ipma", links))))
-    return F.concat(box("ftyp", text("heicmif1")), F.when(K % 3 == 0, F.concat(be(1, 4), text("meta"), be(half_length(meta) + 16, 8), meta)).otherwise(box("meta", meta)), text("beyond"))
+    return F.concat(box("ftyp", text("heicmif1")), F.when(k_() % 3 == 0, F.concat(be(1, 4), text("meta"), be(half_length(meta) + 16, 8), meta)).otherwise(box("meta", meta)), text("beyond"))
 
 
 def heif_colour(spark, sf):
@@ -227,11 +240,11 @@ def fractions(*pairs: tuple[Column | int, int]) -> Column:
 
 def gain_metadata() -> Column:
     """The binary form: one channel or three; a gamma of 0 in a few, which no gain map has."""
-    gamma = F.when(K % 11 == 0, 0).otherwise(K % 3 + 1)
-    channel = lambda n: fractions((F.lit(-n) - K % 4, 2), (K % 5 + n, 4), (gamma, 1), (1, 64), (F.lit(-1), 64))
-    heads = fractions((0, 1), (K % 6, 2))
+    gamma = F.when(k_() % 11 == 0, 0).otherwise(k_() % 3 + 1)
+    channel = lambda n: fractions((F.lit(-n) - k_() % 4, 2), (k_() % 5 + n, 4), (gamma, 1), (1, 64), (F.lit(-1), 64))
+    heads = fractions((0, 1), (k_() % 6, 2))
     one, three = channel(1), F.concat(channel(1), channel(2), channel(3))
-    return F.concat(zeros(4), F.when(K % 2 == 0, F.concat(F.lit("40"), heads, one)).otherwise(F.concat(F.lit("80"), heads, three)))
+    return F.concat(zeros(4), F.when(k_() % 2 == 0, F.concat(F.lit("40"), heads, one)).otherwise(F.concat(F.lit("80"), heads, three)))
 
 
 XMP = b'<x hdrgm:Version="1.0" hdrgm:HDRCapacityMax="2.5" hdrgm:Gamma=\'1.5\'><hdrgm:GainMapMax><rdf:Seq><rdf:li>1</rdf:li><rdf:li> 2</rdf:li><rdf:li>+3.5</rdf:li></rdf:Seq></hdrgm:GainMapMax></x>'
@@ -239,7 +252,7 @@ XMP = b'<x hdrgm:Version="1.0" hdrgm:HDRCapacityMax="2.5" hdrgm:Gamma=\'1.5\'><h
 
 def gain_jpeg() -> Column:
     """A primary image with an index of three entries: itself, one that lies beyond the end, and the gain map."""
-    said = F.when(K % 4 == 3, segment(0xE1, text(P.XMP_HEAD + XMP))).otherwise(segment(0xE2, F.concat(text(P.ISO_HEAD), gain_metadata())))
+    said = F.when(k_() % 4 == 3, segment(0xE1, text(P.XMP_HEAD + XMP))).otherwise(segment(0xE2, F.concat(text(P.ISO_HEAD), gain_metadata())))
     second = F.concat(F.lit("FFD8"), said, F.lit("FFDA0008"), text("scan"))
     entry = lambda size, at: F.concat(zeros(4), le(size, 4), le(at, 4), zeros(4))
     # offsets count from the byte behind the signature: 10 bytes into the file; the first image ends 100 bytes in
@@ -257,7 +270,7 @@ def further_images(spark, sf):
 
 def probe_gain(spark, sf):
     """A JPEG is HDR if one of its images says that it is a gain map."""
-    sized = F.concat(F.lit("FFD8"), segment(0xC0, F.concat(F.lit("08"), be(H, 2), be(W, 2), F.lit("01"), F.lit("011100"))), F.substring(gain_jpeg(), 5, 1_000_000))
+    sized = F.concat(F.lit("FFD8"), segment(0xC0, F.concat(F.lit("08"), be(h_(), 2), be(w_(), 2), F.lit("01"), F.lit("011100"))), F.substring(gain_jpeg(), 5, 1_000_000))
     # the index stands 13 + 2 bytes later, and so does all that its offsets count from
     return P.probe(files(part(spark, sf), "Jpeg", sized))
 
@@ -265,7 +278,7 @@ def probe_gain(spark, sf):
 def gain_jxl(spark, sf):
     """The same metadata in a box of a JPEG XL file, whose encoding says sRGB or not."""
     said = gain_metadata()
-    body = F.concat(F.lit("00"), be(half_length(said), 2), said, F.lit("02"), be(K % 2, 1), F.lit("00"), be(3, 4), text("icc"), text("image"))
+    body = F.concat(F.lit("00"), be(half_length(said), 2), said, F.lit("02"), be(k_() % 2, 1), F.lit("00"), be(3, 4), text("icc"), text("image"))
     return P.gain_maps(files(part(spark, sf), "Jxl", F.concat(text(b"\0\0\0\x0cJXL \r\n\x87\n"), box("jhgm", body))))
 
 
@@ -275,12 +288,12 @@ _GAIN = "CASE WHEN k % 2 = 0 THEN 1 ELSE 3 END::INT AS channels, (-1 - k % 4) /
 def restart_jpeg() -> Column:
     """Baseline files with a restart interval, stuffed zeros and fill bytes in the scan; one restart too few in some."""
     mcus = lambda n: F.ceil(n / 16)
-    per, rows = mcus(W % 200 + 1), mcus(H % 90 + 1)
-    interval = F.when(K % 3 == 0, per).when(K % 3 == 1, per * 2).otherwise(F.ceil(per / 2))
-    count = F.ceil(per * rows / interval) - F.when(K % 10 == 0, 1).otherwise(0)
+    per, rows = mcus(w_() % 200 + 1), mcus(h_() % 90 + 1)
+    interval = F.when(k_() % 3 == 0, per).when(k_() % 3 == 1, per * 2).otherwise(F.ceil(per / 2))
+    count = F.ceil(per * rows / interval) - F.when(k_() % 10 == 0, 1).otherwise(0)
     runs = F.transform(F.sequence(F.lit(1), F.greatest(count - 1, F.lit(0))), lambda i: F.concat(F.lit("41FF0042FFFFD"), F.pmod(i - 1, F.lit(8)).cast("string")))
     scan = F.concat(F.when(count > 1, F.array_join(runs, "")).otherwise(""), F.lit("43FF0044"))
-    frame = F.concat(F.lit("08"), be(H % 90 + 1, 2), be(W % 200 + 1, 2), F.lit("03"), F.lit("012200021100031100"))
+    frame = F.concat(F.lit("08"), be(h_() % 90 + 1, 2), be(w_() % 200 + 1, 2), F.lit("03"), F.lit("012200021100031100"))
     return F.concat(F.lit("FFD8"), segment(0xC0, frame), segment(0xDD, be(interval, 2)), segment(0xDA, F.lit("03010002110311003F00")), scan, F.lit("FFD9"))
 
 
@@ -307,12 +320,12 @@ f AS (SELECT k AS id, q::INT AS step, (41 + q * each * 7)::BIGINT AS at, CASE WH
 def _saved(spark, sf):
     """Orientation k % 8 + 1 saved into files of the four kinds; 1 saved into those again."""
     rows = part(spark, sf)
-    wanted = (K % 8 + 1).cast("int").alias("orientation")
-    directory = F.concat(text("MM\0*"), be(8, 4), be(2, 2), be(0x0100, 2), be(4, 2), be(1, 4), be(W, 4), be(0x0117, 2), be(4, 2), be(1, 4), zeros(4), be(0, 4), text("strips"))
+    wanted = (k_() % 8 + 1).cast("int").alias("orientation")
+    directory = F.concat(text("MM\0*"), be(8, 4), be(2, 2), be(0x0100, 2), be(4, 2), be(1, 4), be(w_(), 4), be(0x0117, 2), be(4, 2), be(1, 4), zeros(4), be(0, 4), text("strips"))
     every = {"Png": png_file(), "Jpeg": jpeg_file(), "WebP": webp_file(), "Tiff": directory, "Bmp": F.lit("424D")}
     first = None
     for turn, (kind, digits) in enumerate(every.items()):
-        some = rows.select((K * 8 + turn).alias("id"), F.lit(kind).alias("kind"), F.unhex(digits).alias("content"), wanted)
+        some = rows.select((k_() * 8 + turn).alias("id"), F.lit(kind).alias("kind"), F.unhex(digits).alias("content"), wanted)
         first = some if first is None else first.unionByName(some)
     return first
 

@@ -84,7 +84,8 @@ def stream_latest_wins(spark, sf):
 
 
 def stream_debounce(spark, sf):
-    return S.drain(S.debounce(_requests_stream(spark, sf), REST_MS), "append")
+    out = S.drain(S.debounce(_requests_stream(spark, sf), REST_MS), "update", keep_last=["session", "burst"], by="requests")
+    return out.select("session", F.col("ts").cast("timestamp_ntz").alias("ts"), "idx", "requests")
 
 
 def stream_playback(spark, sf):
@@ -111,6 +112,18 @@ QUERIES = {
     "blob_planes_roundtrip": (blob_planes_roundtrip, f"WITH {PX} SELECT * FROM px"),
     "blob_sizes": (blob_sizes, None),
     "stream_latest_wins": (stream_latest_wins, f"WITH {REQ} SELECT session, generation::BIGINT AS generation, idx FROM req QUALIFY row_number() OVER (PARTITION BY session ORDER BY generation DESC) = 1"),
-    "stream_debounce": (stream_debounce, None),
-    "stream_playback": (stream_playback, None),
+    "stream_debounce": (
+        stream_debounce,
+        f"""WITH {REQ}, g AS (SELECT *, lag(ts) OVER (PARTITION BY session ORDER BY generation) AS prev FROM req),
+        b AS (SELECT *, sum(CASE WHEN prev IS NULL OR ts - prev >= INTERVAL 4 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY generation) AS burst FROM g)
+        SELECT session, max(ts) AS ts, arg_max(idx, generation) AS idx, count(*) AS requests FROM b GROUP BY session, burst""",
+    ),
+    # a run of 850 ms is always over between two requests, so each one that comes that late steps one frame
+    "stream_playback": (
+        stream_playback,
+        f"""WITH RECURSIVE {REQ}, e AS (SELECT user_id AS session, event_id AS seq, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+        r AS (SELECT session, seq, i, ms, 0 AS frame, ms + 100 AS due FROM e WHERE i = 1
+          UNION ALL SELECT e.session, e.seq, e.i, e.ms, (r.frame + 1) % 4, e.ms + ([100, 250, 400, 100])[(r.frame + 1) % 4 + 1] FROM r JOIN e ON e.session = r.session AND e.i = r.i + 1)
+        SELECT session, seq, frame::INT AS frame FROM r""",
+    ),
 }

@@ -1,12 +1,14 @@
 """Requests as streams: latest wins, a rest before work, playback that catches up.
 
 A viewer's stream has no late data in the sense of event time: what belongs to an
-older generation is dropped.  State is one row a session, so it is bounded by the
-number of sessions, and sessions that rest are timed out by the watermark.
+older generation is dropped.  State is one row a session; sessions that rest for
+``RESTS`` by the watermark are timed out and forgotten, so state is bounded by the
+sessions of that time.  Results go to files, batch by batch, never to the driver.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +17,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.sessions import Player
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+#: Milliseconds of event time after which a session's state is dropped.
+RESTS = 90 * 24 * 3600 * 1000
 
 
 def request_stream(spark: SparkSession, path: str, watermark: str = "1 day") -> DataFrame:
@@ -36,57 +42,108 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A session's new requests with ``us``, microseconds since the epoch; of one micro-batch, so they are few."""
+    rows = pd.concat(list(batches))
+    return rows.assign(us=rows["ts"].astype("datetime64[us]").astype("int64")).sort_values(["us", "seq"])
+
+
+def _until(state: GroupState, us: int) -> None:
+    """Forget the session once the watermark is ``RESTS`` past its last request."""
+    state.setTimeoutTimestamp(max(us // 1000 + RESTS, state.getCurrentWatermarkMs() + 1))
+
+
 def latest_wins(requests: DataFrame) -> DataFrame:
     """Each session's last request so far; a later one replaces it, an earlier one is dropped."""
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last_ts, last_seq, idx = state.get if state.exists else (0, -1, -1, 0)
-        for rows in batches:
-            count += len(rows)
-            rows = rows.assign(us=rows["ts"].astype("int64")).sort_values(["us", "seq"])
-            top = rows.iloc[-1]
-            if (top["us"], top["seq"]) > (last_ts, last_seq):
-                last_ts, last_seq, idx = int(top["us"]), int(top["seq"]), int(top["idx"])
-        state.update((count, last_ts, last_seq, idx))
+        if state.hasTimedOut:
+            state.remove()
+            return
+        count, last_us, last_seq, idx = state.get if state.exists else (0, -1, -1, 0)
+        rows = _in_order(batches)
+        count, top = count + len(rows), rows.iloc[-1]
+        if (top["us"], top["seq"]) > (last_us, last_seq):
+            last_us, last_seq, idx = int(top["us"]), int(top["seq"]), int(top["idx"])
+        state.update((count, last_us, last_seq, idx))
+        _until(state, last_us)
         yield pd.DataFrame({"session": [key[0]], "generation": [count], "idx": [idx]})
 
-    return requests.groupBy("session").applyInPandasWithState(keep, "session bigint, generation bigint, idx int", "count bigint, ts bigint, seq bigint, idx int", "update", GroupStateTimeout.NoTimeout)
+    return requests.groupBy("session").applyInPandasWithState(keep, "session bigint, generation bigint, idx int", "count bigint, us bigint, seq bigint, idx int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounce(requests: DataFrame, rest_ms: int) -> DataFrame:
-    """The end of each burst whose session then rested: a session window with the rest as its gap."""
-    window = F.session_window("ts", f"{rest_ms} milliseconds")
-    bursts = requests.groupBy("session", window).agg(F.max(F.struct("ts", "seq", "idx")).alias("last"), F.count(F.lit(1)).alias("requests"))
-    return bursts.select("session", "last.ts", "last.idx", "requests")
+    """The end of each burst after which its session rested: session, burst, ts, idx, requests.
+
+    A burst that goes on is given again, longer, under the same number; the newest row of each number counts.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        burst, last_us, idx, n = state.get if state.exists else (-1, -1, 0, 0)
+        out = []
+        for us, where in _in_order(batches)[["us", "idx"]].itertuples(index=False, name=None):
+            if burst < 0 or (us - last_us) // 1000 >= rest_ms:
+                if burst >= 0:
+                    out.append((burst, last_us, idx, n))
+                burst, n = burst + 1, 0
+            last_us, idx, n = int(us), int(where), n + 1
+        out.append((burst, last_us, idx, n))
+        state.update((burst, last_us, idx, n))
+        _until(state, last_us)
+        found = pd.DataFrame(out, columns=["burst", "us", "idx", "requests"]).drop_duplicates("burst", keep="last")
+        yield pd.DataFrame({"session": key[0], "burst": found["burst"], "ts": pd.to_datetime(found["us"], unit="us", utc=True), "idx": found["idx"].astype("int32"), "requests": found["requests"]})
+
+    return requests.groupBy("session").applyInPandasWithState(run, "session bigint, burst bigint, ts timestamp, idx int, requests bigint", "burst bigint, us bigint, idx int, n bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def advances(requests: DataFrame, delays: tuple[int, ...]) -> DataFrame:
     """Each session plays a loop of frames from its first request; the frame that shows at each later one.
 
-    State is when the loop began; a stall of any length is one remainder, not a walk.
+    State is the frame and when it is due to change; after a stall of a whole run playing goes on from where it stood.
     """
-    total = sum(delays)
 
     def play(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        ms = rows["ts"].astype("datetime64[us]").astype("int64") // 1000
-        begun = state.get[0] if state.exists else int(ms.iloc[0])
-        state.update((begun,))
-        within = (ms - begun) % total
-        frame, upto = pd.Series(0, index=rows.index), 0
-        for k, d in enumerate(delays):
-            frame[(within >= upto) & (within < upto + d)] = k
-            upto += d
-        yield pd.DataFrame({"session": key[0], "seq": rows["seq"], "frame": frame.astype("int32")})
-
-    return requests.groupBy("session").applyInPandasWithState(play, "session bigint, seq bigint, frame int", "begun bigint", "append", GroupStateTimeout.NoTimeout)
-
-
-def drain(stream: DataFrame, mode: str, keep_last: list[str] | None = None, by: str | None = None) -> DataFrame:
-    """Run a stream over what there is, into a memory table, and return that."""
-    name = f"drained_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    out = stream.sparkSession.table(name)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows, player = _in_order(batches), Player()
+        frames, some = [], list(delays)
+        if state.exists:
+            player.opened, (player.frame, player.due) = True, state.get
+        for now in (rows["us"] // 1000).tolist():
+            player.open(some, now)
+            player.catch_up(some, now)
+            frames.append(player.frame)
+        state.update((player.frame, player.due))
+        _until(state, int(rows["us"].iloc[-1]))
+        yield pd.DataFrame({"session": key[0], "seq": rows["seq"], "frame": pd.Series(frames, index=rows.index, dtype="int32")})
+
+    return requests.groupBy("session").applyInPandasWithState(play, "session bigint, seq bigint, frame int", "frame int, due bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame, mode: str, keep_last: list[str] | None = None, by: str | None = None, folder: str | None = None) -> DataFrame:
+    """Run a stream over what there is, into Parquet files of each micro-batch, and return those.
+
+    A batch that is run again after a failure replaces its own files.  ``keep_last``: keys of which the row with the largest ``by`` counts.
+    """
+    spark = stream.sparkSession
+    shared = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="tilescope-")
+    root = f"{shared.rstrip('/')}/tilescope/stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = spark.read.schema(schema).option("basePath", f"{root}/out").parquet(f"{root}/out").select(*schema.names)
     if keep_last:
         newest = Window.partitionBy(*keep_last).orderBy(F.col(by).desc())
         out = out.withColumn("_at", F.row_number().over(newest)).where("_at = 1").drop("_at")
