@@ -25,21 +25,21 @@ def abbreviated(path: Column, home: str) -> Column:
     return F.when(path == home, "~").when(inside, F.concat(F.lit("~"), F.substring(path, F.lit(len(home) + 1), F.char_length(path)))).otherwise(path)
 
 
-def _one_decimal(x: Column) -> Column:
-    """A double of at least 0.5 with one decimal, as C's ``%.1f``: by its exact binary value, ties to even."""
+def fixed(x: Column, places: int) -> Column:
+    """A double of at least 0.5 with one or two decimals, as C's ``%.1f``: by its exact binary value, ties to even."""
     whole = F.floor(x)
     # the fraction is an exact multiple of 2^-53
-    tens = ((x - whole) * float(1 << 53)).cast("long") * 10
-    tenths, rest = F.shiftright(tens, 53), tens.bitwiseAND(F.lit((1 << 53) - 1))
-    up = (rest > 1 << 52) | ((rest == 1 << 52) & (tenths % 2 == 1))
-    tenths = tenths + up.cast("long")
-    return F.format_string("%d.%d", whole + F.when(tenths == 10, 1).otherwise(0), tenths % 10)
+    parts = ((x - whole) * float(1 << 53)).cast("long") * 10**places
+    digits, rest = F.shiftright(parts, 53), parts.bitwiseAND(F.lit((1 << 53) - 1))
+    up = (rest > 1 << 52) | ((rest == 1 << 52) & (digits % 2 == 1))
+    digits = digits + up.cast("long")
+    return F.format_string(f"%d.%0{places}d", whole + F.when(digits == 10**places, 1).otherwise(0), digits % 10**places)
 
 
 def human_size(n: Column) -> Column:
     """Decimal units: B, kB without decimals, MB and GB with one; the unit changes where rounding would show 1000."""
     kilo = F.format_string("%d kB", F.bround(n / 1000.0, 0).cast("long"))
-    tenth = lambda unit, name: F.concat(_one_decimal(n / float(unit)), F.lit(name))
+    tenth = lambda unit, name: F.concat(fixed(n / float(unit), 1), F.lit(name))
     return F.when(n < 1000, F.format_string("%d B", n)).when(n < 999_500, kilo).when(n < 999_950_000, tenth(10**6, " MB")).otherwise(tenth(10**9, " GB"))
 
 
@@ -99,5 +99,5 @@ def hex_digits(n: Column) -> Column:
 
 def cache_identity(size: Column, contents: Column, headroom: Column, white: Column) -> Column:
     """What a cache is named by: size and contents, on an HDR display its headroom, and its white where that is not 203 nits."""
-    tag = F.when(headroom > 1, F.concat(F.lit("|pq|"), F.format_string("%.2f", headroom), F.when(white != 203, F.format_string("|%.0f", white)).otherwise("")))
+    tag = F.when(headroom > 1, F.concat(F.lit("|pq|"), fixed(headroom, 2), F.when(white != 203, F.format_string("|%.0f", white)).otherwise("")))
     return F.concat(size.cast("string"), F.lit("|"), hex_digits(contents), F.coalesce(tag, F.lit("")))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cache, catalog, codec, files, headers, lookups, raster, stateful, timeline, tone, views
+from . import cache, catalog, codec, files, headers, lookups, raster, stateful, timeline, tone, viewing, views
 
 Query = Callable[[SparkSession, str], DataFrame]
-_AREAS = (raster, codec, views, catalog, timeline, cache, tone, headers, files, lookups, stateful)
+_AREAS = (raster, codec, views, catalog, timeline, cache, tone, headers, files, lookups, viewing, stateful)
 
 
 def queries() -> dict[str, Query]:
