@@ -58,13 +58,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, tag: str, last: bool = False) -> DataFrame:
+def materialize(df: DataFrame, tag: str, last: bool = False, texts: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage,
-    so that a lost executor costs one stage and not the whole history."""
+    so that a lost executor costs one stage and not the whole history.
+
+    texts: whether whole texts are in it, which are worth a slower codec.
+    """
     roots = _scratch.get()[:-1] if last else _scratch.get()
     root = roots[-1] if roots else f"{shared_dir(df.sparkSession)}/tilescope"
     path = f"{root}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if texts else None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Cut, Encoder, encoder, read_ranks
-from .common import BATCH_ROWS, map_slices, materialize, scratch, text_of
+from .common import map_slices, materialize, scratch, text_of
 
 LEAF = 64
+#: Documents whose trees are in memory at a time.
+TREE_ROWS = 300
 #: Characters behind an edit that are cut anew at first; doubled until old and new boundaries meet.
 SLACK = 64
 
@@ -261,7 +263,7 @@ def token_trees(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         return work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint", rows=BATCH_ROWS)
+    return map_slices(docs.select("doc_id", "text"), make, f"doc_id {kind}, text string, tree {TREE}, n_tokens bigint", rows=TREE_ROWS)
 
 
 def edit_trees(held: DataFrame, rank_path: str, pattern: str, edits: Column) -> DataFrame:
@@ -288,7 +290,7 @@ def edit_trees(held: DataFrame, rank_path: str, pattern: str, edits: Column) ->
 
     kind = held.schema["doc_id"].dataType.simpleString()
     more = "n_edits bigint, n_tokens_before bigint, n_tokens bigint, n_encoded_anew bigint"
-    return map_slices(held.select("doc_id", "text", "tree", edits.alias("edits")), make, f"doc_id {kind}, text string, tree {TREE}, {more}", rows=BATCH_ROWS)
+    return map_slices(held.select("doc_id", "text", "tree", edits.alias("edits")), make, f"doc_id {kind}, text string, tree {TREE}, {more}", rows=TREE_ROWS)
 
 
 def sample_edits(n: int = 3) -> Column:
@@ -309,7 +311,7 @@ def edited_counts(docs: DataFrame, rank_path: str, pattern: str, edits: Column |
     edits: as in ``edit_trees``; by default ``sample_edits``.
     """
     with scratch(docs.sparkSession):
-        held = materialize(token_trees(docs, rank_path, pattern), "token-trees")
+        held = materialize(token_trees(docs, rank_path, pattern), "token-trees", texts=True)
         done = edit_trees(held, rank_path, pattern, edits if edits is not None else sample_edits())
         counts = done.select("doc_id", "n_edits", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_encoded_anew")
         return materialize(counts, "edited-counts", last=True)
