@@ -26,3 +26,13 @@ def test_imports_without_the_subpackage(tmp_path):
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'halve' in q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_the_rest_passes_without_the_subpackage(tmp_path):
+    """With both folders and the pipeline gone, a part of the rest's own tests."""
+    for folder in ("tilescope", "tests"):
+        shutil.copytree(f"{ROOT}/{folder}", tmp_path / folder, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    some = "test_query_matches_sql and (halve or sniff or folder_az or debounce) or form_a_group or oracle_has_a_query"
+    run = subprocess.run([sys.executable, "-m", "pytest", "tests", "-x", "-q", "-p", "no:cacheprovider", "-k", some], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert run.returncode == 0 and " passed" in run.stdout, run.stdout[-2000:]

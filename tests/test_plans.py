@@ -305,3 +305,47 @@ def test_probes_of_cut_files_end():
                 R.reoriented(data, kind, rng.randrange(1, 9))
             except R.Refused:
                 pass
+
+
+#: Published conversions between linear RGB spaces (ITU-R BT.2087 and the P3 of DCI at D65), to four places.
+PUBLISHED = {
+    ("bt2020", "bt709"): ((1.6605, -0.5876, -0.0728), (-0.1246, 1.1329, -0.0083), (-0.0182, -0.1006, 1.1187)),
+    ("bt709", "bt2020"): ((0.6274, 0.3293, 0.0433), (0.0691, 0.9195, 0.0114), (0.0164, 0.0880, 0.8956)),
+    ("p3", "bt709"): ((1.2249, -0.2249, 0.0), (-0.0421, 1.0421, 0.0), (-0.0196, -0.0786, 1.0983)),
+}
+
+
+def test_conversions_are_the_published_ones(spark, sf):
+    got = {(r.source, r.target, r.i, r.j): r.value for r in plans.queries()["matrix"](spark, sf).collect()}
+    for (a, b), m in PUBLISHED.items():
+        assert all(abs(got[a, b, i, j] - m[i][j]) < 2e-4 for i in range(3) for j in range(3)), (a, b)
+    names = {k[0] for k in got}
+    for a in names:  # there and back is where one was, and white stays white
+        for b in names:
+            assert all(abs(sum(got[a, b, i, k] * got[b, a, k, j] for k in range(3)) - (i == j)) < 1e-4 and abs(sum(got[a, b, i, k] for k in range(3)) - 1) < 1e-5 for i in range(3) for j in range(3))
+
+
+def test_packed_sizes_equal_a_plain_loop(spark, sf):
+    import zlib
+
+    from tilescope.sources import fixtures as X
+
+    tiles = {}
+    for p in X.pixels(spark, sf).collect():
+        tiles.setdefault((p.image, p.x // 16, p.y // 16), {})[p.x % 16, p.y % 16] = (p.r, p.g, p.b, p.a)
+    got = {(r.image, r.column, r.row): (r.raw, r.planes) for r in plans.queries()["blob_sizes"](spark, sf).collect()}
+    assert set(got) == set(tiles)
+    for key, px in tiles.items():
+        w, h = 1 + max(x for x, _ in px), 1 + max(y for _, y in px)
+        split = lambda x, y: (lambda r, g, b, a: ((r - g) % 256, g, (b - g) % 256, a))(*px[x, y])
+        planes = bytes((split(x, y)[c] - (split(x, y - 1)[c] if y else 0)) % 256 for c in range(4) for y in range(h) for x in range(w))
+        assert got[key] == (4 * w * h, len(zlib.compress(planes, 1)))
+
+
+def test_an_unreadable_tile_is_a_hole(spark):
+    from tilescope.operators import blob as T
+
+    rows_ = [(0, 0, 0, 2, 2, bytearray(range(16))), (0, 1, 0, 2, 2, bytearray(b"cut")), (0, 0, 1, 1, 1, None)]
+    tiles = spark.createDataFrame(rows_, T.SCHEMA)
+    got = {(r.column, r.row): bytes(r[5]) for r in T.map_tiles(tiles, lambda a: a).collect()}
+    assert got == {(0, 0): bytes(range(16)), (1, 0): bytes(16), (0, 1): bytes(4)}
