@@ -119,8 +119,8 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return sources.select("domain", "lang", "source", "tokens", F.col("got").alias("budget"))
 
 
-def _order_key(seed: int, epoch: Column, doc_id: str) -> Column:
-    return F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), "UTF-8"))
+def _order_key(seed: int, epoch: Column, doc_id: Column) -> Column:
+    return F.md5(F.encode(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))), "UTF-8"))
 
 
 def _small(leaves: DataFrame) -> DataFrame:
@@ -129,43 +129,58 @@ def _small(leaves: DataFrame) -> DataFrame:
     return F.broadcast(leaves) if leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else leaves
 
 
-def choose(slim: DataFrame, mix: Mix) -> DataFrame:
+LEAF = ["domain", "lang", "source"]
+
+
+def cutoffs(slim: DataFrame, mix: Mix, last: bool = False) -> DataFrame:
     """slim: domain, lang, source, doc_id, tokens (read three times; materialise it).
 
-    Adds ``copies``: how often a row is taken; rows that are not taken are absent.
+    A row a leaf: its whole epochs, and what of the next one it takes (``rest`` tokens): all buckets before
+    ``end_bucket``, and of that one all keys up to ``last_key``.
     """
-    leaf = ["domain", "lang", "source"]
-    leaves = slim.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"))
+    leaves = slim.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens"))
     budgets = materialize(leaf_budgets(leaves, mix), "mix-budgets").select(
-        *leaf,
+        *LEAF,
         F.expr("CASE WHEN tokens > 0 THEN budget div tokens ELSE 1 END").alias("epochs"),
         F.expr("CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END").alias("rest"),
     )
-    rows = slim.join(_small(budgets), leaf).withColumn("order_key", _order_key(mix.seed, F.col("epochs"), "doc_id"))
+    rows = slim.join(_small(budgets), LEAF).withColumn("order_key", _order_key(mix.seed, F.col("epochs"), F.col("doc_id")))
     rows = rows.withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
-    buckets = rows.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("here"), F.first("rest").alias("rest"))
-    run = Window.partitionBy(*leaf).orderBy("bucket")
+    buckets = rows.groupBy(*LEAF, "bucket").agg(F.sum("tokens").alias("here"), F.first("rest").alias("rest"))
+    run = Window.partitionBy(*LEAF).orderBy("bucket")
     ends = (
         buckets.withColumn("upto", F.sum("here").over(run))
         .where("upto > rest")
-        .groupBy(*leaf)
+        .groupBy(*LEAF)
         .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("here")).alias("before"))).alias("end"))
-        .select(*leaf, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
+        .select(*LEAF, F.col("end.bucket").alias("end_bucket"), F.col("end.before").alias("before"))
     )
     ends = materialize(ends, "mix-ends")
     # the rows of the one bucket of each leaf in which its budget ends; equal keys count together
-    last = rows.join(_small(ends), leaf).where("bucket = end_bucket")
-    upto = Window.partitionBy(*leaf).orderBy("order_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = rows.join(_small(ends), LEAF).where("bucket = end_bucket")
+    upto = Window.partitionBy(*LEAF).orderBy("order_key").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cuts = (
-        last.withColumn("upto", F.col("before") + F.sum("tokens").over(upto))
+        near.withColumn("upto", F.col("before") + F.sum("tokens").over(upto))
         .where("upto <= rest")
-        .groupBy(*leaf)
+        .groupBy(*LEAF)
         .agg(F.max("order_key").alias("last_key"))
     )
-    ends = ends.join(cuts, leaf, "left").select(*leaf, "end_bucket", F.coalesce("last_key", F.lit("")).alias("last_key"))
-    taken = rows.join(_small(materialize(ends, "mix-cuts")), leaf, "left")
-    inside = F.coalesce((F.col("bucket") < F.col("end_bucket")) | (F.col("order_key") <= F.col("last_key")), F.col("rest") > 0)
-    return taken.withColumn("copies", F.col("epochs") + inside.cast("long")).where("copies > 0").drop("epochs", "rest", "order_key", "bucket", "end_bucket", "last_key")
+    found = budgets.join(ends, LEAF, "left").join(cuts, LEAF, "left")
+    return materialize(found.select(*LEAF, "epochs", "rest", "end_bucket", F.coalesce("last_key", F.lit("")).alias("last_key")), "mix-cuts", last=last)
+
+
+def copies_of(cuts: dict[str, Column], doc_id: Column, mix: Mix) -> Column:
+    """How often a row is taken, by its leaf's cutoffs."""
+    key = _order_key(mix.seed, cuts["epochs"], doc_id)
+    inside = (F.substring(key, 1, BUCKET_DIGITS) < cuts["end_bucket"]) | (key <= cuts["last_key"])
+    return cuts["epochs"] + F.coalesce(inside, cuts["rest"] > 0).cast("long")
+
+
+def choose(slim: DataFrame, mix: Mix) -> DataFrame:
+    """Adds ``copies`` to ``slim``: how often a row is taken; rows that are not taken are absent."""
+    cuts = cutoffs(slim, mix)
+    rows = slim.join(_small(cuts), LEAF)
+    return rows.withColumn("copies", copies_of({c: F.col(c) for c in cuts.columns}, F.col("doc_id"), mix)).where("copies > 0").select(*LEAF, "doc_id", "tokens", "copies")
 
 
 def slim_rows(docs: DataFrame, tokens: Column | None = None, domain: Column | None = None) -> DataFrame:
@@ -186,14 +201,18 @@ def mix_documents(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> Da
 
 
 def take_mixture(docs: DataFrame, mix: Mix, tokens: Column | None = None) -> DataFrame:
-    """``docs`` with each row as often as the mixture takes it; all columns as they were."""
-    fresh = {c: unused(docs, f"_ts_{c}") for c in ("doc_id", "domain", "lang", "source", "copies", "epoch")}
-    chosen = mix_documents(docs, mix, tokens).groupBy("doc_id", "domain", "lang", "source").agg(F.max("copies").alias("copies"))
-    chosen = chosen.select(*[F.col(c).alias(fresh[c]) for c in chosen.columns])
+    """``docs`` with each row as often as the mixture takes it; all columns as they were.
+
+    Rows are decided where they are, by the cutoffs of their leaf: texts are not shuffled.
+    """
+    with scratch(docs.sparkSession):
+        cuts = cutoffs(materialize(slim_rows(docs, tokens), "mix-rows"), mix, last=True)
+    fresh = {c: unused(docs, f"_ts_{c}") for c in (*cuts.columns, "copies", "epoch")}
+    cuts = cuts.select(*[F.col(c).alias(fresh[c]) for c in cuts.columns])
     named = lambda c: F.coalesce(docs[c].cast("string"), F.lit("(none)"))
-    on = docs["doc_id"].eqNullSafe(chosen[fresh["doc_id"]]) & (named("lang") == chosen[fresh["lang"]]) & (named("source") == chosen[fresh["source"]])
     # a source is of one domain, so language and source are a whole key
-    joined = docs.join(chosen, on)
+    joined = docs.join(_small(cuts), (named("lang") == cuts[fresh["lang"]]) & (named("source") == cuts[fresh["source"]]))
+    joined = joined.withColumn(fresh["copies"], copies_of({c: F.col(fresh[c]) for c in ("epochs", "rest", "end_bucket", "last_key")}, docs["doc_id"], mix)).where(F.col(fresh["copies"]) > 0)
     if mix.max_epochs > 1:
         joined = joined.withColumn(fresh["epoch"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(fresh["copies"]))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
