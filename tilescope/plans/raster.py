@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import raster as R
 from ..sources import fixtures as X
-from .fixtures_sql import DIM, GRID, PX
+from .fixtures_sql import DIM, GRID, HAVE, PX
 
 CH = R.RGBA
 TILE = 16
@@ -207,9 +207,7 @@ QUERIES = {
     "oriented_rect": (oriented_rect, _RECT_SQL),
     "id_pack": (
         id_pack,
-        """WITH t AS (SELECT DISTINCT (l_linenumber - 1)::INT AS level, (l_partkey % ceil(16 / power(2, l_linenumber - 1))::INT)::INT AS c,
-          (l_suppkey % ceil(12 / power(2, l_linenumber - 1))::INT)::INT AS r FROM lineitem WHERE l_linenumber <= 3 AND l_orderkey % 11 < 4)
-        SELECT level::BIGINT * 281474976710656 + r * 16777216 + c AS key, level, r AS tile_row, c AS tile_column FROM t""",
+        f"""WITH {HAVE} SELECT level::BIGINT * 281474976710656 + "row" * 16777216 + "column" AS key, level, "row" AS tile_row, "column" AS tile_column FROM have""",
     ),
     "resample": (resample, _RESAMPLE_SQL),
 }
