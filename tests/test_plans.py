@@ -289,6 +289,18 @@ def test_jpeg_walk_stops_where_it_must():
     assert P.jpeg(b"\xff\xd8\xff\xd9") is None and P.png(b"\x89PNG") is None and P.webp(b"RIFF") is None and P.jxl(b"\xff\x0a") is None and P.bmp(b"BM") is None and P.icon(b"icns") is None and P.heif(b"") is None
 
 
+def test_jxl_sides_of_every_length(spark, tmp_path):
+    """Sides around 8,192 and 262,144, where their fields get longer, and up to 30 bits."""
+    import duckdb
+
+    sizes = [1, 50, 1156, 1157, 1158, 37_435, 37_436, 37_437, 100_000_000]
+    parts = [(key, sizes[k % 9]) for k, key in enumerate([*range(8_180, 8_210), *range(8_990, 9_010), *range(17_180, 17_205), 1_199_993])]
+    spark.createDataFrame(parts, "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert rows(plans.queries()["probe_jxl"](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE["probe_jxl"]).df())
+
+
 def test_probes_of_cut_files_end():
     """Every beginning of a file gives an answer or none, never an error."""
     from tilescope.sources import probes as P

@@ -131,11 +131,24 @@ def probe_webp(spark, sf):
     return P.probe(files(part(spark, sf), "WebP", webp_file()))
 
 
-def jxl_bits(*fields: tuple[Column | int, int]) -> Column:
-    """Numbers of so many bits each, the first one lowest, as 8 bytes."""
-    binary = [F.right(F.lpad(F.bin((value if isinstance(value, Column) else F.lit(value)).cast("long")), size, "0"), F.lit(size)) for value, size in reversed(fields)]
-    digits = F.lpad(F.conv(F.concat(*binary), 2, 16), 16, "0")
-    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(8))])
+def bits(value: Column | int, size: int) -> Column:
+    value = value if isinstance(value, Column) else F.lit(value)
+    return F.right(F.lpad(F.bin(value.cast("long")), 64, "0"), F.lit(size))
+
+
+def jxl_side(value: Column) -> Column:
+    """A side less one, in the least of 13, 18 and 30 bits that holds it, behind two bits that name the choice."""
+    way = lambda choice, size: F.concat(bits(value, size), bits(choice, 2))
+    return F.when(value < 1 << 13, way(1, 13)).when(value < 1 << 18, way(2, 18)).otherwise(way(3, 30))
+
+
+def jxl_bits(*fields: tuple[Column | int, int] | Column, size: int = 8) -> Column:
+    """Numbers of so many bits each, or binary digits, the first one lowest, as ``size`` bytes, a multiple of 8."""
+    binary = [field if isinstance(field, Column) else bits(*field) for field in reversed(fields)]
+    whole = F.lpad(F.concat(*binary), 8 * size, "0")
+    digits = F.concat(*[F.lpad(F.conv(F.substring(whole, 8 * k + 1, 64), 2, 16), 16, "0") for k in range(0, size, 8)])
+    # pairs of digits turn round; a substring for each would compute all digits anew
+    return F.regexp_replace(F.reverse(digits), "(.)(.)", "$2$1")
 
 
 def jxl_file() -> Column:
@@ -144,7 +157,8 @@ def jxl_file() -> Column:
     ratio = k_() % 7 + 1
     plain = jxl_bits((1, 1), (eight, 5), (ratio, 3), (1, 1))
     said = jxl_bits(
-        (0, 1), (1, 2), (h_() + 99, 13), (0, 3), (1, 2), (w_() - 1, 13), (0, 1), (1, 1), (F.greatest(o_(), F.lit(1)) - 1, 3), (0, 3), (0, 3), (1, 1), (0, 2), (1, 1), (0, 2), (0, 2), (1, 2), (1, 2), (0, 1), (2, 2), (k_() % 3 + 13, 4)
+        (0, 1), jxl_side(h_() + 99), (0, 3), jxl_side(w_() - 1), (0, 1), (1, 1), (F.greatest(o_(), F.lit(1)) - 1, 3), (0, 3), (0, 3), (1, 1), (0, 2), (1, 1), (0, 2), (0, 2), (1, 2), (1, 2), (0, 1), (2, 2), (k_() % 3 + 13, 4),
+        size=16,
     )
     stream = F.concat(F.lit("FF0A"), F.when(k_() % 2 == 0, plain).otherwise(said))
     boxed = F.concat(text(b"\0\0\0\x0cJXL \r\n\x87\n"), when(k_() % 9 == 0, box("jhgm", zeros(4))), box("jxlc", stream))
