@@ -75,6 +75,42 @@ def test_streams_agree_with_batch(spark, sf):
     assert rows(stream[["session", "idx", "ts"]]) == rows(batch[["session", "idx", "ts"]])
 
 
+def test_playback_of_requests_close_together(spark, tmp_path):
+    """Requests at the same time, and closer than a frame lasts: the query equals its SQL, the operator by itself a plain player."""
+    import datetime
+
+    import duckdb
+
+    from tilescope.streaming import requests as S
+
+    rng, delays = random.Random(5), (100, 250, 400, 100)
+    gaps = (0, 0, 0.4, 1, 58.87, 99, 100, 101, 250, 849, 850, 949, 950, 1249, 1250, 90_000)
+    events, times = [], {}
+    for user in range(12):
+        at = datetime.datetime(2024, 1, 1)
+        for k in range(60):
+            at += datetime.timedelta(milliseconds=rng.choice(gaps))
+            events.append((user + 12 * k, at, user, "view", 1.0, None))
+            times.setdefault(user, []).append((at - datetime.datetime(1970, 1, 1)) // datetime.timedelta(milliseconds=1))
+    rng.shuffle(events)
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(events, S.EVENTS).repartition(3).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    assert rows(plans.queries()["stream_playback"](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE["stream_playback"]).df())
+    got = {(r.session, r.seq): r.frame for r in S.drain(S.advances(S.request_stream(spark, path), delays), "append").collect()}
+    want = {}
+    for user, every in times.items():
+        frame, due = 0, every[0] + delays[0]
+        for k, now in enumerate(every):
+            due = now if now - due >= sum(delays) else due
+            while due <= now:
+                frame = (frame + 1) % len(delays)
+                due += delays[frame]
+            want[user, user + 12 * k] = frame
+    assert got == want
+
+
 def test_written_pyramid_equals_the_planned_one(spark, sf, tmp_path):
     from tilescope.sources import fixtures as X
     from tilescope.sources import tiles
